@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, packing
+from . import best_fit, exact_dedup, mixing, packing
 from .common import table
 
 
@@ -18,9 +18,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in the mix: doc_id, source, and the schedule's columns."""
+    return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_packing, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_packing, op7_best_fit_packing, op8_exact_dedup, op9_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_dedup": exact_dedup.ORACLE}
