@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless the path or folder that they inherit has it."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    inherited = [Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    if root in inherited or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/potentia", "zip", root, "potentia"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark (the folder may be in any store that Spark reads)."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import best_fit, exact_dedup, mixing, packing
+from . import ann, best_fit, exact_dedup, link_trust, mixing, packing, quality, secrets
 from .common import table
 
 
@@ -14,6 +15,23 @@ def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op4_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"))
 
@@ -28,8 +46,8 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_packing, op7_best_fit_packing, op8_exact_dedup, op9_pfair_mixing)}
+    return {f.__name__: f for f in (op1_token_packing, op2_one_bit_codes, op3_rule_ensemble, op4_guess_cost, op6_link_trust, op7_best_fit_packing, op8_exact_dedup, op9_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_one_bit_codes": ann.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
