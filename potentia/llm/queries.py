@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, best_fit, exact_dedup, link_trust, mixing, packing, quality, secrets
+from . import ann, best_fit, exact_dedup, licenses, link_trust, mixing, packing, quality, secrets
 from .common import table
 
 
@@ -45,8 +45,12 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op10_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_packing, op2_one_bit_codes, op3_rule_ensemble, op4_guess_cost, op6_link_trust, op7_best_fit_packing, op8_exact_dedup, op9_pfair_mixing)}
+    return {f.__name__: f for f in (op1_token_packing, op2_one_bit_codes, op3_rule_ensemble, op4_guess_cost, op6_link_trust, op7_best_fit_packing, op8_exact_dedup, op9_pfair_mixing, op10_rare_token_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
