@@ -66,14 +66,14 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def drop_duplicates(docs: DataFrame, *, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """The rows that stay, with all their columns."""
     columns = docs.columns
-    found = groups(docs, broadcast_rows=broadcast_rows, **options).withColumnRenamed("text_sha256", "own_sha").withColumnRenamed("keep_id", "own_keep").drop("group_size")
+    found = groups(docs, broadcast_rows=broadcast_rows, **options).withColumnRenamed("text_sha256", "own_sha").withColumnRenamed("keep_id", "own_keep").withColumnRenamed("keep_rows", "own_rows").drop("group_size")
     small = found.limit(broadcast_rows + 1).count() <= broadcast_rows
     tagged = docs.withColumn("own_full", full_hash())
     joined = tagged.join(F.broadcast(found) if small else found, F.col("own_full") == F.col("own_sha"), "left")
     staying = joined.where(F.col("own_sha").isNull() | F.col("doc_id").eqNullSafe(F.col("own_keep")))
-    repeated = F.coalesce(F.col("keep_rows"), F.lit(1)) > 1
+    repeated = F.coalesce(F.col("own_rows"), F.lit(1)) > 1
     once = staying.where(~repeated).select(*columns)
-    if not found.where("keep_rows > 1").limit(1).count():
+    if not found.where("own_rows > 1").limit(1).count():
         return once
     return once.unionByName(staying.where(repeated).dropDuplicates(["own_full"]).select(*columns))
 

@@ -69,13 +69,13 @@ def schedule(docs: DataFrame, *, block_docs: int = 32, bucket_rows: int = 8192,
     numbered = keyed.withColumn("own_k", F.row_number().over(in_bucket)).join(starts, ["own_source", "own_bucket"])
     placed = numbered.withColumn("own_n", F.col("own_start") + F.col("own_k") - 1)
     placed = placed.withColumns({"mix_block": F.expr(f"own_n div {block_docs}"), "mix_place": F.col("own_n") % block_docs})
-    plan = cycle(shares(docs, **targets))
-    sizes = plan.groupBy("own_source").agg(F.first("share").alias("share"))
-    turned = placed.join(F.broadcast(sizes), "own_source").withColumn("turn", F.col("mix_block") % F.col("share")).drop("share")
-    found = turned.join(F.broadcast(plan), ["own_source", "turn"])
+    plan = cycle(shares(docs, **targets)).selectExpr("own_source", "share own_share", "length own_length", "turn own_turn", "slot own_slot")
+    sizes = plan.groupBy("own_source").agg(F.first("own_share").alias("own_size"))
+    turned = placed.join(F.broadcast(sizes), "own_source").withColumn("own_turn", F.col("mix_block") % F.col("own_size"))
+    found = turned.join(F.broadcast(plan), ["own_source", "own_turn"])
     return found.select(
-        *columns, "mix_block", F.expr("mix_block div share * length + slot").alias("mix_slot"), "mix_place",
-        F.expr("mix_block * length div share").alias("mix_release"), F.expr("((mix_block + 1) * length + share - 1) div share").alias("mix_deadline"),
+        *columns, "mix_block", F.expr("mix_block div own_share * own_length + own_slot").alias("mix_slot"), "mix_place",
+        F.expr("mix_block * own_length div own_share").alias("mix_release"), F.expr("((mix_block + 1) * own_length + own_share - 1) div own_share").alias("mix_deadline"),
     )
 
 

@@ -159,7 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", penalty:
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
-    """docs with held_out, score (0 to 1) and predicted (1 from threshold on)."""
+    """docs with held_out, score (0 to 1) and predicted (1 from threshold on); columns of docs with these names give way."""
     model = fit(docs, labels, **options)
     scored = statistics(docs).withColumn("own_score", model.score())
-    return scored.select(*docs.columns, held_out(F.col("doc_id")).alias("held_out"), F.col("own_score").alias("score"), (F.col("own_score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")], held_out(F.col("doc_id")).alias("held_out"), F.col("own_score").alias("score"), (F.col("own_score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with their columns."""
+    model = fit(docs, labels, **options)
+    return statistics(docs).where(model.score() >= threshold).select(*docs.columns)
