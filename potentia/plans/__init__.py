@@ -1 +1 @@
-""""""
+"""Registered queries, each with its SQL."""
