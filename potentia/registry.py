@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("sequence", "distribution", "outcomes", "relational")
+PLANS = ("sequence", "distribution", "outcomes", "relational", "scalar", "io")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
