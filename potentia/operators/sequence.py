@@ -34,6 +34,17 @@ def significant(tokens: DataFrame, key: str = "path_id", n: int = P.ROLLOUTS, **
     return with_k(pairs(tokens, key), n).where(P.is_cliff(F.col("k_prev"), F.col("k_now"), n, **test)).withColumn("drop", F.col("prev_score") - F.col("score"))
 
 
+def profile(tokens: DataFrame, *keys: str, n: int = P.ROLLOUTS) -> DataFrame:
+    """A row a path in one pass: its last token, its length, and how many significant drops it has (SEQ5 counted).
+
+    The score before is the last one that isn't null, so scored and unscored rows share one exchange and one sort.
+    """
+    before = F.last("score", ignorenulls=True).over(by_path(keys[0]).rowsBetween(Window.unboundedPreceding, -1))
+    marked = tokens.withColumn("own_before", before)
+    hit = F.col("score").isNotNull() & F.col("own_before").isNotNull() & P.is_cliff(P.score_to_k(F.col("own_before"), n), P.score_to_k(F.col("score"), n), n)
+    return marked.groupBy(*keys).agg(F.max_by("token", "pos").alias("last_token"), F.max("pos").alias("total_tokens"), F.count_if(hit).alias("n"))
+
+
 def first_by(df: DataFrame, key, order: str, *columns: str) -> DataFrame:
     """The row with the least order of each key."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -204,8 +204,7 @@ RATE = f"""{cliffs_sql('short')}, {path_ok_sql()}, per AS (SELECT ok.path_id, ok
 
 
 def _per_path(spark, d):
-    c = S.significant(tokens(spark, d, "short")).groupBy("path_id").agg(F.count("*").alias("n"))
-    return path_ok(spark, d, True).join(c, "path_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return S.profile(tokens(spark, d, "short"), "path_id", "model", "dataset").withColumn("is_correct", F.col("last_token").isin("purchase", "view"))
 
 
 @query("AGG3", f"WITH {RATE} SELECT model, is_correct, count(*) AS n_paths, count_if(n > 0)::BIGINT AS with_cliff, round(100*count_if(n > 0)/count(*)::DOUBLE, 6) AS rate FROM per GROUP BY model, is_correct")

@@ -30,6 +30,12 @@ def test_gap_tolerant_pair(spark):
     assert [(r.prev_pos, r.pos, r.k_prev, r.k_now) for r in rows] == [(1, 4, 32, 6)]
 
 
+def test_profile_counts_the_same_drops(spark):
+    df = path(spark, 0.9, None, 0.3, 0.8, None, None, 0.1, 0.1).unionByName(path(spark, None, 0.5, 0.6, key=2))
+    counts = {r.path_id: r["count"] for r in S.significant(df).groupBy("path_id").count().collect()}
+    assert {r.path_id: (r.n, r.total_tokens, r.last_token) for r in S.profile(df, "path_id").collect()} == {1: (counts[1], 8, "t8"), 2: (0, 3, "t3")}
+
+
 def test_published_drops_pass(spark):
     drops = [(60, 44), (59, 37), (41, 23), (41, 12), (32, 9), (49, 33), (64, 7), (52, 16), (18, 3)]
     df = spark.createDataFrame([*drops, (0, 0), (12, 0), (11, 0), (64, 53)], "a int, b int").select("a", "b", P.is_cliff(F.col("a"), F.col("b")).alias("x"))
