@@ -131,12 +131,9 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SIGNED)
 
 
-def blocked(members: DataFrame, group: list[str], sizes: DataFrame, block: int) -> DataFrame:
-    """members with own_i, own_j, own_side: a group's blocks meet pairwise; one block of at most about `block` is met by itself.
-
-    sizes has the group columns and own_m, the group's members. Blocks are dealt by the hash of fp.
-    """
-    dealt = members.join(sizes, group).withColumn("own_k", F.ceil(F.col("own_m") / block).cast("int")).withColumn("own_x", F.pmod(F.xxhash64("fp"), F.col("own_k")).cast("int"))
+def blocked(members: DataFrame, block: int, by: str) -> DataFrame:
+    """members with own_x, own_i, own_j: a group of own_m members is dealt into blocks of about `block` by the hash of `by`, and they meet pairwise."""
+    dealt = members.withColumn("own_k", F.ceil(F.col("own_m") / block).cast("int")).withColumn("own_x", F.pmod(F.xxhash64(by), F.col("own_k")).cast("int"))
     cells = F.explode(F.expr("transform(sequence(0, own_k - 1), y -> struct(least(own_x, y) as i, greatest(own_x, y) as j))"))
     return dealt.withColumn("own_cell", cells).withColumns({"own_i": F.col("own_cell.i"), "own_j": F.col("own_cell.j")}).drop("own_cell", "own_k", "own_m")
 
@@ -189,9 +186,13 @@ EDGES = "a binary, b binary"
 def bucket_edges(representatives: DataFrame, rows_all: int, similarity: float, block: int) -> DataFrame:
     """Spanning forests of the likely pairs in every bucket."""
     least = math.floor(rows_all * similarity - 6 * math.sqrt(rows_all * similarity * (1 - similarity)))
-    banded = representatives.select("fp", "small", "n", F.posexplode("bands").alias("band", "hash"))
-    sizes = banded.groupBy("band", "hash").agg(F.count("*").alias("own_m")).where("own_m > 1")
-    cells = blocked(banded, ["band", "hash"], sizes, block).select("fp", "small", "n", F.hash("band").alias("x"), F.xxhash64("band", "hash", "own_i", "own_j").alias("cell"))
+    # Only a short key goes with every band hash. Two texts that share a key join the same bucket, which adds comparisons and loses none.
+    short = F.expr("cast(conv(hex(substring(fp, 1, 7)), 16, 10) as bigint)")
+    banded = representatives.select(short.alias("key"), F.explode("bands").alias("hash"))
+    sizes = banded.groupBy("hash").agg(F.count("*").alias("own_m")).where("own_m > 1")
+    shared = banded.join(sizes, "hash")
+    cells = blocked(shared, block, "key").select("key", F.xxhash64("hash", "own_i", "own_j").alias("cell"))
+    cells = cells.join(representatives.select(short.alias("key"), "fp", "small", "n"), "key")
 
     def run(batches):
         for g in _grouped(batches, "cell"):
@@ -299,7 +300,7 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = REC
     bands, rows = choose_bands(similarity, recall, max_hashes)
     signed = cut(sign(docs, bands, rows))
     classes = signed.where("fp is not null").groupBy("fp").agg(F.min(F.struct("text_key", "doc_id", "n", "small", "bands")).alias("own"), F.count("*").alias("copies"))
-    representatives = classes.select("fp", "copies", "own.*")
+    representatives = cut(classes.select("fp", "copies", "own.*"))
     likely = components(bucket_edges(representatives, bands * rows, similarity, block))
     groups = cut(likely.withColumnsRenamed({"node": "fp", "root": "own_root"}).join(representatives.select("fp", "copies", "text_key", "doc_id"), "fp"))
     wanted = groups.select("text_key", F.col("doc_id").alias("own_id"))
@@ -309,12 +310,12 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = REC
     read = keyed.join(wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
     sets = _shingle_sets(read)
     sizes = groups.groupBy("own_root").agg(F.count("*").alias("own_m"))
-    dealt = blocked(groups.select("fp", "copies", "own_root"), ["own_root"], sizes, block)
+    dealt = blocked(groups.select("fp", "copies", "own_root").join(sizes, "own_root"), block, "fp")
     cells = dealt.select("fp", "copies", F.col("own_x").alias("x"), F.col("own_i").alias("i"), F.col("own_j").alias("j"), F.xxhash64("own_root", "own_i", "own_j").alias("cell"))
     verified = cut(verify(cells.join(sets.dropDuplicates(["fp"]), "fp"), similarity))
     found = components(verified.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")))
     links = verified.where("other is null").groupBy("fp").agg(F.sum("links").alias("links"))
-    copies = classes.select("fp", "copies")
+    copies = representatives.select("fp", "copies")
     per_class = copies.where("copies > 1").join(links, "fp", "full_outer").join(found.withColumnRenamed("node", "fp"), "fp", "left")
     per_class = cut(per_class.select(F.col("fp").alias("own_fp"), F.coalesce("root", "fp").alias("class"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     return signed.select("doc_id", "text_key", "fp", "n").join(per_class, F.col("fp") == F.col("own_fp"), "left").drop("own_fp")
