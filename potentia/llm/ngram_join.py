@@ -96,9 +96,11 @@ class MinHash:
         self.b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.a), np.uint64)
-        for at in range(0, len(self.a), 16):
-            out[at : at + 16] = (shingles[None, :] * self.a[at : at + 16, None] + self.b[at : at + 16, None]).min(axis=1)
+        out = np.full(len(self.a), np.uint64(2**64 - 1))
+        for some in (shingles[k : k + 65_536] for k in range(0, len(shingles), 65_536)):  # so that a very long text takes no more memory
+            for at in range(0, len(self.a), 16):
+                own = (some[None, :] * self.a[at : at + 16, None] + self.b[at : at + 16, None]).min(axis=1)
+                out[at : at + 16] = np.minimum(out[at : at + 16], own)
         return _mixed(out)
 
     def band_hashes(self, values: np.ndarray) -> np.ndarray:
@@ -246,38 +248,33 @@ def verify(members: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for g in _grouped(batches, "cell"):
-            fp, copies = g["fp"], np.array(g["copies"], np.int64)
-            sets = [np.frombuffer(s, "<u8") for s in g["shingles"]]
-            sizes, x = np.array([len(s) for s in sets]), np.array(g["x"])
-            across = g["i"][0] != g["j"][0]
+            sets = [np.frombuffer(x, "<u8") for x in g["shingles"]]
+            order = np.argsort([len(x) for x in sets], kind="stable")  # by size, so that what can be similar lies side by side
+            sets, fp = [sets[k] for k in order], [g["fp"][k] for k in order]
+            copies, x = np.array(g["copies"], np.int64)[order], np.array(g["x"])[order]
+            sizes, across = np.array([len(s) for s in sets]), g["i"][0] != g["j"][0]
             ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
             ends = np.cumsum(sizes)
             starts = ends - sizes
             links, pairs, flag = np.zeros(len(fp), np.int64), [], np.zeros(int(ids.max()) + 1, np.int32)
             root = np.arange(len(fp))  # for a spanning forest of the links
             for a in range(len(fp) - 1):
-                others = np.arange(a + 1, len(fp))
-                if across:
-                    others = others[x[others] != x[a]]
-                others = others[np.minimum(sizes[others], sizes[a]) >= similarity * np.maximum(sizes[others], sizes[a])]
-                if not len(others):
+                last = int(np.searchsorted(sizes, sizes[a] / similarity + 1e-9, "right"))
+                if last <= a + 1:
                     continue
-                own = ids[starts[a] : ends[a]]
-                flag[own] = 1
-                if len(others) == len(fp) - 1 - a:
-                    common = np.add.reduceat(flag[ids[ends[a] :]], starts[others] - ends[a])
-                else:
-                    common = np.array([flag[ids[starts[o] : ends[o]]].sum() for o in others])
-                flag[own] = 0
-                near = others[common >= similarity * (sizes[a] + sizes[others] - common) - 1e-9]
+                others = np.arange(a + 1, last)
+                flag[ids[starts[a] : ends[a]]] = 1
+                common = np.add.reduceat(flag[ids[ends[a] : ends[last - 1]]], starts[others] - ends[a])
+                flag[ids[starts[a] : ends[a]]] = 0
+                linked = common >= similarity * (sizes[a] + sizes[others] - common) - 1e-9
+                near = others[linked & (x[others] != x[a])] if across else others[linked]
                 links[a] += copies[near].sum()
                 links[near] += copies[a]
                 fresh = near[root[near] != root[a]]
-                for r in np.unique(root[fresh]):
-                    o = fresh[root[fresh] == r][0]
-                    pairs.append((a, int(o)))
-                if len(fresh):
-                    root[np.isin(root, np.unique(root[fresh]))] = root[a]
+                joined, at = np.unique(root[fresh], return_index=True)
+                pairs += [(a, int(o)) for o in fresh[at]]
+                if len(joined):
+                    root[np.isin(root, joined)] = root[a]
             rows = [(fp[k], int(links[k]), None) for k in np.flatnonzero(links)] + [(fp[a], 0, fp[b]) for a, b in pairs]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary()))], names=["fp", "links", "other"])
