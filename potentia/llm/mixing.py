@@ -58,7 +58,7 @@ def cycle(shares: DataFrame) -> DataFrame:
     return slots.selectExpr("s[turn.p].own_source own_source", "s[turn.p].share share", "length", "turn.turn turn", "cast(slot as bigint) slot")
 
 
-def schedule(docs: DataFrame, *, block_docs: int = 32, bucket_rows: int = 8192, **targets) -> DataFrame:
+def schedule(docs: DataFrame, *, block_docs: int = 32, bucket_rows: int = 2048, **targets) -> DataFrame:
     """All rows and columns of docs, with mix_block, mix_slot, mix_place, mix_release and mix_deadline; sort by mix_slot, mix_place."""
     columns = docs.columns
     buckets = max(1, math.ceil(docs.count() / bucket_rows))
