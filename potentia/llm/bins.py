@@ -78,60 +78,66 @@ def lower_bound(lengths: Sequence[int], capacity: int) -> int:
 
 
 def _completions(room: int, mask: int, counts: list[int], slack: int, width: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths) of undominated fillings of room with at most three items, least waste first.
+    """(waste, lengths) of undominated fillings of room with any number of items, least waste first.
 
-    mask has bit n set if a length n is left. A filling is dominated if one other item, or one longer
-    item in the place of one of its own, fits as well; so each item but the last determines the last.
+    mask has bit n set if a length n is left, counts says how often. The search goes over distinct lengths, longest
+    first, and drops what can't waste `slack` or less. A filling is dominated if one other item, or one longer item in
+    the place of one of its own, fits as well. It ends with `width` fillings without waste, or after 100 * width steps.
     """
+    found: list[tuple[int, tuple[int, ...]]] = []
+    least, steps, exact = (mask & -mask).bit_length() - 1, 100 * width, 0
+    own: list[tuple[int, int]] = []  # length and how often
 
     def largest(limit: int) -> int:
         return (mask & ((1 << (limit + 1)) - 1)).bit_length() - 1 if limit > 0 else 0
 
-    one = largest(room)
-    if one <= 0:
-        return [(room, ())] if room <= slack else []
-    found, seen = [(room - one, (one,))], one
-    a = one
-    exact = one == room
-    while a > 0 and not exact and 2 * a >= room - slack and len(found) < 4 * width:
-        b = largest(min(a, room - a))
-        if b == a and counts[a] < 2:
-            b = largest(a - 1)
-        if b > 0 and a + b > seen:  # else the single item dominates it
-            found.append((room - a - b, (a, b)))
-            exact = a + b == room
-        a = largest(a - 1)
-    if not exact:
-        a = one
-        tried = 0
-        while a > 0 and 3 * a >= room - slack and tried < 4 * width and not exact:
-            b = largest(min(a, room - a - 1))
-            if b == a and counts[a] < 2:
-                b = largest(a - 1)
-            inner = 0
-            while b > 0 and 2 * b >= room - a - slack and inner < width and not exact:
-                c = largest(min(b, room - a - b))
-                if c > 0 and counts[c] < 1 + (c == b) + (c == a):
-                    c = largest(c - 1)
-                if c > 0:
-                    found.append((room - a - b - c, (a, b, c)))
-                    exact = a + b + c == room
-                inner += 1
-                b = largest(b - 1)
-                if b == a and counts[a] < 2:
-                    b = largest(b - 1)
-            tried += 1
-            a = largest(a - 1)
-    return sorted(x for x in set(found) if x[0] <= slack)[:width]
+    def dominated(left: int) -> bool:
+        used = dict(own)
+        for n in (0, *used):  # 0: one more item
+            longer = (mask & ((1 << (n + left + 1)) - 1)) >> (n + 1)
+            while longer:
+                x = n + (longer & -longer).bit_length()
+                if counts[x] > used.get(x, 0):
+                    return True
+                longer &= longer - 1
+        return False
+
+    def fill(left: int, cap: int) -> None:
+        nonlocal steps, exact
+        steps -= 1
+        if left <= slack and not (left and dominated(left)):
+            found.append((left, tuple(n for n, k in own for _ in range(k))))
+            exact += not left
+            return  # whatever else fits would have shown it dominated
+        need, n = left - slack, largest(min(left, cap))
+        while n > 0 and steps > 0 and exact < width:
+            items = max(1, -(-need // n))  # at least so many more
+            most = left - (items - 1) * least
+            if most < least:
+                return
+            if n > most:
+                n = largest(most)
+                continue
+            for k in range(min(counts[n], left // n), 0, -1):
+                own.append((n, k))
+                fill(left - k * n, n - 1)
+                own.pop()
+                if steps <= 0 or exact >= width:
+                    return
+            n = largest(n - 1)
+
+    fill(room, room)
+    return sorted(found, key=lambda x: (x[0], x[1]))[:width]
 
 
 def bin_completion(lengths: Sequence[int], capacity: int, nodes: int = 20_000, width: int = 6) -> list[list[int]]:
     """Bins of indices into lengths, as few as branch and bound finds.
 
-    The incumbent begins as best fit decreasing. A search for one bin less branches on the fillings
-    around the longest item left; it goes back where the waste so far exceeds what that many bins can
-    waste. A solution becomes the incumbent, until the lower bound is met or `nodes` are used up;
-    `width` fillings are tried at a node. Any incumbent packs every item.
+    The incumbent begins as best fit decreasing. A search for a number of bins, the lower bound first, branches on
+    the fillings around the longest item left; it goes back where the waste so far exceeds what that many bins can
+    waste. Its solution becomes the incumbent; where it has none, so does its longest part with the rest packed by
+    best fit decreasing, if that is less, and the next search is for half-way more bins. Searches end where they meet
+    the incumbent, or when `nodes` are used up; `width` fillings are tried at a node. Any incumbent packs every item.
     """
     best = best_fit_decreasing(lengths, capacity)
     least, total = lower_bound(lengths, capacity), sum(lengths)
@@ -140,16 +146,21 @@ def bin_completion(lengths: Sequence[int], capacity: int, nodes: int = 20_000, w
         by_length[n].append(i)
     left = nodes
     while len(best) > least and left > 0:
-        shape, left = _search(by_length, capacity, (len(best) - 1) * capacity - total, left, width)
-        if shape is None:
-            break
+        budget = min(left, max(len(best), left // 2))
+        shape, unused, whole = _search(by_length, capacity, least * capacity - total, budget, width)
+        left -= budget - unused
         pools = {n: iter(own) for n, own in by_length.items()}
-        best = [[next(pools[n]) for n in own] for own in shape]
+        found = [[next(pools[n]) for n in own] for own in shape]
+        if not whole:
+            rest = sorted(i for own in pools.values() for i in own)
+            found += [[rest[k] for k in own] for own in best_fit_decreasing([lengths[i] for i in rest], capacity)]
+            least += max(1, (len(best) - least) // 2)
+        best = min(best, found, key=len)
     return best
 
 
-def _search(by_length: dict[int, list[int]], capacity: int, allowed: int, nodes: int, width: int) -> tuple[list[tuple[int, ...]] | None, int]:
-    """A packing that wastes at most `allowed` tokens, as lengths by bin; and the nodes left."""
+def _search(by_length: dict[int, list[int]], capacity: int, allowed: int, nodes: int, width: int) -> tuple[list[tuple[int, ...]], int, bool]:
+    """A packing that wastes at most `allowed` tokens, as lengths by bin; the nodes left; and if it is whole, or else the longest part."""
     counts, mask = [0] * (capacity + 1), 0
     for n, own in by_length.items():
         counts[n] = len(own)
@@ -157,6 +168,7 @@ def _search(by_length: dict[int, list[int]], capacity: int, allowed: int, nodes:
     done: list[tuple[int, ...]] = []
     stack: list[Iterator[tuple[int, tuple[int, ...]]]] = []
     wasted = [0]
+    part: list[tuple[int, ...]] = []
 
     def choices() -> Iterator[tuple[int, tuple[int, ...]]]:
         top = mask.bit_length() - 1
@@ -167,13 +179,15 @@ def _search(by_length: dict[int, list[int]], capacity: int, allowed: int, nodes:
         return iter([(waste, (top, *rest)) for waste, rest in found])
 
     if not mask:
-        return [], nodes
+        return [], nodes, True
     stack.append(choices())
     while stack and nodes > 0:
         nodes -= 1
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
+            if len(done) > len(part):
+                part = list(done)
             if done:
                 for n in done.pop():
                     counts[n] += 1
@@ -188,6 +202,6 @@ def _search(by_length: dict[int, list[int]], capacity: int, allowed: int, nodes:
         done.append(own)
         wasted.append(wasted[-1] + waste)
         if not mask:
-            return done, nodes
+            return done, nodes, True
         stack.append(choices())
-    return None, nodes
+    return max(part, done, key=len), nodes, False

@@ -61,6 +61,19 @@ def test_bins_against_exhaustive_search():
         assert len(bins.bin_completion(lengths, 20)) == best
 
 
+@pytest.mark.parametrize("pieces", range(5, 11))
+def test_bins_of_many_pieces(pieces):
+    rng, lengths, mean = random.Random(pieces), [], 2048 // pieces
+    while len(lengths) < 400 * pieces:  # 400 bins that are full
+        own = [rng.randint(mean * 4 // 5, mean * 5 // 4) for _ in range(pieces - 1)]
+        if mean * 4 // 5 <= 2048 - sum(own) <= mean * 5 // 4:
+            lengths += [*own, 2048 - sum(own)]
+    found = bins.bin_completion(lengths, 2048)
+    assert sorted(i for b in found for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 2048 for b in found)
+    assert len(found) <= 410 < len(bins.best_fit_decreasing(lengths, 2048))
+
+
 def test_segment_tree_finds_the_least_room():
     rng = random.Random(5)
     tree, rooms = bins.CapacityTree(50), Counter()
