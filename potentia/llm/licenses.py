@@ -2,12 +2,14 @@
 
 Words are runs of digits, a-z (after lower-casing A-Z) and characters from U+0080 on. Licence templates are short
 notices; their words are the index's vocabulary, with postings (template, position). How many documents hold each of
-these words is counted over the whole corpus. Each file's rarest `rare_words` licence words are looked up; a posting
-votes for the place where the template would have to begin. Where enough of a template's postings agree on one place,
-and its mandatory key phrase stands there word for word, the file gets the template's label.
+these words is counted over the whole corpus. The rarer half of each template's words (at most `rare_words`, at least
+three) is looked up in every file, so no licence of a file takes the votes of another; a posting votes for the place
+where the template would have to begin. Where enough of a template's postings agree on one place, and its mandatory key
+phrase stands there word for word, the file gets the template's label.
 
 The work on a document stays in its row (array functions), so nothing is shuffled but the word counts, summed before.
-A document without any of the strings that every key phrase has one of (ANCHORS) can't match and is passed by.
+A document without any of the strings that every key phrase has one of (ANCHORS) can't match and is passed by; so is
+a template where a word of its key phrase is nowhere in the text.
 
 Defined cases: a null or empty text has no words and no labels, and its first and last word are null; rows that repeat are each
 scanned; an empty table gives no rows; other columns are not read.
@@ -84,20 +86,21 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, rare_words: int = 24, least_sh
 
     low = docs.select("doc_id", _low().alias("own_low"))
     can_match = reduce(lambda a, b: a | b, [F.contains("own_low", F.lit(x)) for x in ANCHORS]) | F.regexp_like("own_low", F.lit(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"))
-    row = low.select("doc_id", F.regexp_count("own_low", F.lit(_WORD)).cast("long").alias("n_words"), F.when(can_match, words(F.col("own_low"))).otherwise(F.array().cast("array<string>")).alias("w"))
+    row = low.withColumn("can_match", can_match).select("doc_id", "own_low", "can_match", F.regexp_count("own_low", F.lit(_WORD)).cast("long").alias("n_words"), F.when(F.col("can_match"), words(F.col("own_low"))).otherwise(F.array().cast("array<string>")).alias("w"))
 
     fits = {phrase: " and ".join(f"get(w, i + {k}) = '{x}'" if k else f"x = '{x}'" for k, x in enumerate(phrase.split())) for phrase in BASE}
     row = row.withColumns({f"own_b{n}": F.expr(f"filter(transform(w, (x, i) -> if({fits[p]}, i, null)), i -> i is not null)") for n, p in enumerate(BASE)})
     row = row.withColumn("own_places", F.expr(f"concat({', '.join(f'own_b{n}' for n in range(len(BASE)))})"))
 
-    rank_map = f"map({', '.join(f'{chr(39)}{w}{chr(39)}, {rank[w]}' for w in by_rarity)})"
-    row = row.withColumn("own_at", F.expr(f"filter(transform(w, (x, i) -> struct(x as x, i as i)), p -> p.x in ({_list(by_rarity)}))"))
-    row = row.withColumn("own_ranks", F.expr(f"slice(array_sort(array_distinct(transform(own_at, p -> {rank_map}[p.x]))), 1, {rare_words})"))
-    row = row.withColumn("own_rare", F.expr(f"filter(own_at, p -> array_contains(own_ranks, {rank_map}[p.x]))"))
+    rares = [sorted(set(text.split()), key=rank.get)[: min(rare_words, max(3, len(set(text.split())) // 2))] for _, text, _ in templates]
+    held = [reduce(lambda a, b: a & b, [F.contains("own_low", F.lit(x)) for x in sorted(set(phrase.split()), key=rank.get)]) for _, _, phrase in templates]
+    row = row.withColumns({f"own_h{t}": F.col("can_match") & h for t, h in enumerate(held)}).drop("own_low", "can_match")
+    postable = F.expr(f"filter(transform(w, (x, i) -> struct(x as x, i as i)), p -> p.x in ({_list(sorted({x for xs in rares for x in xs}))}))")
+    row = row.withColumn("own_rare", F.when(reduce(lambda a, b: a | b, [F.col(f"own_h{t}") for t in range(len(templates))]), postable))
     for t, (_, text, phrase) in enumerate(templates):
         own, key = text.split(), phrase.split()
         at = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
-        rare = sorted(set(own), key=rank.get)[: max(3, len(set(own)) // 2)]  # the template's own rare words
+        rare = rares[t]
         posted = [i for i, x in enumerate(own) if x in rare]
         need = max(2, -(-int(len(posted) * least_share * 2) // 2))
         postings = f"map({', '.join(f'{chr(39)}{x}{chr(39)}, array({_list(i for i in posted if own[i] == x)})' for x in rare)})"
@@ -107,7 +110,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, rare_words: int = 24, least_sh
             'cur', begin, 'n', if(s.cur = begin, s.n + 1, 1),
             'best', if(s.cur = begin and s.n + 1 >= {need} and s.n + 1 > s.best, if({verified}, s.n + 1, s.best), s.best),
             'ok', s.ok or (if(s.cur = begin, s.n + 1, 1) >= {need} and {verified})))"""
-        row = row.withColumn(f"own_t{t}", F.expr(f"transform(array({fold}), s -> struct(s.ok as ok, least(1D, greatest(s.best, if(s.ok, {need}, 0)) / {len(posted)}D) as share))[0]"))
+        row = row.withColumn(f"own_t{t}", F.expr(f"if(own_h{t}, transform(array({fold}), s -> struct(s.ok as ok, least(1D, greatest(s.best, if(s.ok, {need}, 0)) / {len(posted)}D) as share))[0], struct(false as ok, 0D as share))"))
 
     based = [F.when(F.size(f"own_b{n}") > 0, F.lit(label)) for n, label in enumerate(BASE.values())]
     found = [F.when(F.col(f"own_t{t}.ok"), F.lit(label)) for t, (label, _, _) in enumerate(templates)]

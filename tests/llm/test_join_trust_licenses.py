@@ -190,6 +190,16 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_that_share_a_file(spark):
+    notice = {label: text for label, text, _ in licenses.TEMPLATES}
+    files = [list(notice), ["mit-text", "bsd", "apache-2.0"], ["bsd", "mit-text", "mit-notice"], ["gpl-text", "mit-text", "apache-text", "cc-by-nc"]]
+    words = " ".join(licenses.vocabulary())
+    texts = [". ".join(text for _, text, _ in licenses.TEMPLATES)] + [f". {words}. {words}. ".join(notice[x] for x in own) for own in files[1:]]
+    rows = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, own in enumerate(files):
+        assert set(own) <= set(rows[i]), set(own) - set(rows[i])
+
+
 def test_every_key_phrase_has_an_anchor():
     for phrase in [*licenses.BASE, *(p for _, _, p in licenses.TEMPLATES)]:
         assert any(a in phrase for a in licenses.ANCHORS) or "cc by" in phrase
