@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from potentia.llm import best_fit, exact_dedup, mixing, ngram_join, quality
 from potentia.llm.common import ensure_checkpoint_dir, table
@@ -31,8 +32,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's pieces lie in the packed sequences."""
-    return best_fit.pack(docs)
+    """Where each document's pieces lie in the packed sequences, which follow the order of the mix: of files, and rows in them."""
+    return best_fit.pack(docs.withColumns({"own_file": F.col("_metadata.file_name"), "own_row": F.col("_metadata.row_index")}))
 
 
 STAGES = [

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from potentia.llm import best_fit, bins, exact_dedup, mixing, packing, tokens
 
@@ -128,6 +129,24 @@ def test_best_fit_pieces(odd, none):
     assert best_fit.pack(none).count() == 0
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Sources whose documents differ in length keep their shares in every range of sequences."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["one", "two", "three"]) for _ in range({"a": 20, "b": 9, "c": 4}[s] + rng.randint(0, 5))), s) for k in range(4000) for s in [rng.choice("aaaabbbc")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixing.mix(docs, block_docs=4, weights={"a": 4, "b": 3, "c": 1}).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed").withColumns({"own_file": F.col("_metadata.file_name"), "own_row": F.col("_metadata.row_index")})
+    order = [r.doc_id for r in mixed.orderBy("own_file", "own_row").collect()]
+    packed = sorted(best_fit.pack(mixed, capacity=64, group_pieces=400).collect(), key=lambda r: r.sequence_id)
+    assert sorted(r.doc_id for r in packed) == sorted(order)
+    for k in range(0, 4000, 400):  # each range of sequences holds a range of the mix, and so its shares
+        assert {r.doc_id for r in packed[k : k + 400]} == set(order[k : k + 400])
+    source = {k: s for k, _, s in rows}
+    for k in range(0, 3200, 400):
+        had = Counter(source[r.doc_id] for r in packed[k : k + 400])
+        assert all(abs(had[s] - 400 * w / 8) <= 12 for s, w in {"a": 4, "b": 3, "c": 1}.items())
+
+
 def test_exact_dedup(odd, none):
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     by = defaultdict(list)
