@@ -1,16 +1,16 @@
-"""Op 9: mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Op 9: mixing sources to target weights by Pfair scheduling, in DataFrame operations and a loop over blocks.
 
 A source's documents are dealt into blocks of `block_docs`. With weight w (a share of all slots, one slot
 a block) block i of a source, from 0, is released at slot floor(i / w) and is due before slot
 ceil((i + 1) / w); among the released blocks the one due first gets the slot. So at any slot each source
 has had its share to within less than a block, as long as it has blocks left.
 
-Weights are whole slots of a cycle (`cycle_slots` in all, near enough; one at least for each source), so
-the schedule repeats with the cycle. Only one cycle is worked out, by a fold over its slots; every block
-then finds its slot from that table (at most `cycle_slots` plus one row a source, broadcast). Positions
+Weights are whole parts of `cycle_slots`, 2^32 by default, so what rounding them moves stays below one block for
+some 2^32 slots. The driver deals the slots in a loop with a step a block, from one row a source; the blocks' slots
+(a row for `block_docs` documents) are then joined, by broadcast up to `broadcast_rows` blocks. Positions
 within a source come from counts of hash buckets and their running sums, so a source that holds a third
-of all rows is spread over as many tasks as any. When a source has run out, its slots stay vacant and the
-others keep theirs. No row is dropped or repeated.
+of all rows is spread over as many tasks as any. When a source has run out, other blocks that are released
+may have its slots, and where there is none they stay vacant. No row is dropped or repeated.
 
 Defined cases: a null source is a source; rows with equal columns, doc_id included, follow one another in
 any order; an empty table gives no rows; texts may be null. Target weights default to each source's row
@@ -20,14 +20,18 @@ count to the power `alpha`, over all rows; others can be given, and a source wit
 from __future__ import annotations
 
 import math
+from array import array
+from heapq import heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def shares(docs: DataFrame, *, alpha: float = 0.7, cycle_slots: int = 1000, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """For each source its slots in a cycle: own_source (the source in JSON, so that null is a value), share."""
+def shares(docs: DataFrame, *, alpha: float = 0.7, cycle_slots: int = 2**32, weights: dict[str | None, float] | None = None) -> DataFrame:
+    """For each source its weight in parts of cycle_slots: own_source (the source in JSON, so that null is a value), share, rows."""
     counts = docs.groupBy(F.to_json(F.struct("source")).alias("own_source"), "source").agg(F.count("*").alias("rows"))
     if weights is None:
         weight = F.pow(F.col("rows").cast("double"), F.lit(float(alpha)))
@@ -41,27 +45,34 @@ def shares(docs: DataFrame, *, alpha: float = 0.7, cycle_slots: int = 1000, weig
     weighted = counts.withColumn("weight", weight)
     total = F.sum("weight").over(Window.partitionBy(F.lit(0)))  # one row a source
     share = F.greatest(F.lit(1), F.round(F.col("weight") / total * cycle_slots)).cast("long")
-    return weighted.select("own_source", share.alias("share"))
+    return weighted.select("own_source", share.alias("share"), "rows")
 
 
-def cycle(shares: DataFrame) -> DataFrame:
-    """One cycle of the schedule: own_source, share, length, turn (a source's block in the cycle), slot."""
-    listed = shares.agg(F.sort_array(F.collect_list(F.struct("own_source", "share"))).alias("s"), F.sum("share").alias("length"))
-    released = "state.done[i] * length div x.share <= t"
-    due = "((state.done[i] + 1) * length + x.share - 1) div x.share"
-    first = f"array_min(transform(s, (x, i) -> if(state.done[i] < x.share and {released}, struct({due} as due, i as i), null))).i"
-    step = f"""transform(array({first}), p -> named_struct(
-        'done', transform(state.done, (n, i) -> if(i = p, n + 1L, n)), 'turns', concat(state.turns, array(struct(p as p, state.done[p] as turn)))))[0]"""
-    fold = f"""aggregate(sequence(0L, length - 1), named_struct('done', transform(s, x -> 0L), 'turns', cast(array() as array<struct<p: int, turn: bigint>>)),
-        (state, t) -> {step}, state -> state.turns)"""
-    slots = listed.where("length > 0").select("s", "length", F.posexplode(F.expr(fold)).alias("slot", "turn"))
-    return slots.selectExpr("s[turn.p].own_source own_source", "s[turn.p].share share", "length", "turn.turn turn", "cast(slot as bigint) slot")
+def deal(shares: list[tuple[int, int]]) -> list[array]:
+    """For each block its source (by place in shares), number, slot, release and deadline. shares: (share, blocks) of each source."""
+    length, out = sum(x for x, _ in shares), [array("q") for _ in range(5)]
+    waiting, ready = [(0, i, 0) for i, (_, n) in enumerate(shares) if n], []  # (release or deadline, source, block)
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heappop(waiting)
+            heappush(ready, (-(-(k + 1) * length // shares[i][0]), i, k))
+        due, i, k = heappop(ready)
+        for column, x in zip(out, (i, k, slot, k * length // shares[i][0], due)):
+            column.append(x)
+        if k + 1 < shares[i][1]:
+            heappush(waiting, ((k + 1) * length // shares[i][0], i, k + 1))
+        slot += 1
+    return out
 
 
-def schedule(docs: DataFrame, *, block_docs: int = 32, bucket_rows: int = 2048, **targets) -> DataFrame:
+def schedule(docs: DataFrame, *, block_docs: int = 32, bucket_rows: int = 2048, broadcast_rows: int = 200_000, **targets) -> DataFrame:
     """All rows and columns of docs, with mix_block, mix_slot, mix_place, mix_release and mix_deadline; sort by mix_slot, mix_place."""
     columns = docs.columns
-    buckets = max(1, math.ceil(docs.count() / bucket_rows))
+    sources = shares(docs, **targets).orderBy("own_source").collect()
+    buckets = max(1, math.ceil(sum(r.rows for r in sources) / bucket_rows))
     keyed = docs.withColumns({"own_source": F.to_json(F.struct("source")), "own_hash": F.xxhash64(*columns)}).withColumn("own_bucket", F.pmod("own_hash", F.lit(buckets)))
     in_source = Window.partitionBy("own_source").orderBy("own_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("own_source", "own_bucket").agg(F.count("*").alias("own_c")).select("own_source", "own_bucket", F.coalesce(F.sum("own_c").over(in_source), F.lit(0)).alias("own_start"))
@@ -69,14 +80,11 @@ def schedule(docs: DataFrame, *, block_docs: int = 32, bucket_rows: int = 2048,
     numbered = keyed.withColumn("own_k", F.row_number().over(in_bucket)).join(starts, ["own_source", "own_bucket"])
     placed = numbered.withColumn("own_n", F.col("own_start") + F.col("own_k") - 1)
     placed = placed.withColumns({"mix_block": F.expr(f"own_n div {block_docs}"), "mix_place": F.col("own_n") % block_docs})
-    plan = cycle(shares(docs, **targets)).selectExpr("own_source", "share own_share", "length own_length", "turn own_turn", "slot own_slot")
-    sizes = plan.groupBy("own_source").agg(F.first("own_share").alias("own_size"))
-    turned = placed.join(F.broadcast(sizes), "own_source").withColumn("own_turn", F.col("mix_block") % F.col("own_size"))
-    found = turned.join(F.broadcast(plan), ["own_source", "own_turn"])
-    return found.select(
-        *columns, "mix_block", F.expr("mix_block div own_share * own_length + own_slot").alias("mix_slot"), "mix_place",
-        F.expr("mix_block * own_length div own_share").alias("mix_release"), F.expr("((mix_block + 1) * own_length + own_share - 1) div own_share").alias("mix_deadline"),
-    )
+    source, *dealt = (pa.array(np.frombuffer(x, np.int64)) for x in deal([(r.share, -(-r.rows // block_docs)) for r in sources]))
+    own_source = pa.array([r.own_source for r in sources], pa.string()).take(source)
+    plan = docs.sparkSession.createDataFrame(pa.table([own_source, *dealt], ["own_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"]))
+    found = placed.join(F.broadcast(plan) if len(source) <= broadcast_rows else plan, ["own_source", "mix_block"])
+    return found.select(*columns, "mix_block", "mix_slot", "mix_place", "mix_release", "mix_deadline")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

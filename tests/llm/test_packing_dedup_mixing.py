@@ -189,3 +189,27 @@ def test_mixing_keeps_each_source_within_a_block(spark, none, weights):
     assert mixing.schedule(none).count() == 0
     ordered = mixing.mix(docs, block_docs=5, bucket_rows=100).collect()
     assert sorted(r.doc_id for r in ordered) == list(range(3000))
+
+
+def test_mixing_keeps_to_unrounded_weights(spark):
+    weights = {"a": 1.23456, "b": 0.00004, **{f"s{k}": 0.0007 for k in range(100)}}  # b and each s are less than a thousandth or near it
+    docs = spark.range(6000).selectExpr("id doc_id", "case when id < 5500 then 'a' when id < 5510 then 'b' else concat('s', id % 100) end source")
+    rows = mixing.schedule(docs, block_docs=1, weights=weights).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(6000))
+    total, slots = sum(weights.values()), {r.mix_slot: r.source for r in rows}
+    assert len(slots) == 6000 and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in rows)
+    had, counts = Counter(), Counter(r.source for r in rows)
+    for t in range(max(slots) + 1):
+        had[slots.get(t)] += 1
+        for s, w in weights.items():
+            assert had[s] == counts[s] or abs(had[s] - w / total * (t + 1)) < 1 + 1e-6
+        if all(had[s] == counts[s] for s in weights if s != "b"):
+            break
+
+
+def test_mixing_deals_a_large_source_among_many_small_ones():
+    shares = [(int(0.045 * 2**32), 15_000)] + [(int(0.955 / 5000 * 2**32), 2)] * 5000
+    source, _, slot, release, due = mixing.deal(shares)
+    assert len(slot) == len(set(slot)) == 25_000 and all(r <= t < d for r, t, d in zip(release, slot, due))
+    first = sorted(zip(slot, source))[:10_000]
+    assert abs(sum(not i for _, i in first) - 450) <= 1
