@@ -9,7 +9,8 @@ so does the weight of pages that no rule fits, which do not spread. A host is bl
 `threshold` of the sum of the three.
 
 Links are counted by pair of hosts before they are shuffled, ranks have one row a host, and each step is written to the
-checkpoint folder; steps end when no rank moves by `tolerance` in sum, or after `steps`.
+checkpoint folder; steps end when the ranks move by less than `tolerance` in sum, which damping brings about in some 90 steps, or after
+`steps` where that is given.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; null html has
 no links; rows that repeat are each judged; other columns are not read; an empty table gives no rows.
@@ -17,6 +18,8 @@ no links; rows that repeat are each judged; other columns are not read; an empty
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +65,7 @@ def family_links(hosts: DataFrame) -> DataFrame:
     return known.select("src", "dst", "weight").unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def host_ranks(judged: DataFrame, links: DataFrame, *, damping: float = 0.85, steps: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def host_ranks(judged: DataFrame, links: DataFrame, *, damping: float = 0.85, steps: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """host, trust, distrust, neutral. judged has host and action of every page."""
     total = max(1, judged.count())
     seeds = judged.where("host <> ''").groupBy("host").agg(*[(F.count_if(F.coalesce("action", F.lit("none")) == a) / total).alias(name) for a, name in (("allow", "trust0"), ("block", "distrust0"), ("none", "neutral"))])
@@ -75,7 +78,7 @@ def host_ranks(judged: DataFrame, links: DataFrame, *, damping: float = 0.85, st
     ranks = cut(start)
     if not edges.limit(1).count():
         return ranks.select("host", "trust", "distrust", "neutral")
-    for _ in range(steps):
+    for _ in itertools.count() if steps is None else range(steps):
         sent = ranks.select(F.col("host").alias("src"), "trust").join(edges, "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("ahead")).alias("t"), F.lit(0.0).alias("d"))
         sent = sent.unionByName(ranks.select(F.col("host").alias("dst"), "distrust").join(edges, "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d")))
         came = sent.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))

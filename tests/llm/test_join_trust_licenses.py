@@ -164,6 +164,18 @@ def test_link_trust_against_a_plain_version(spark):
     assert link_trust.judge(df.limit(0)).count() == 0
 
 
+def test_distrust_reaches_far_hosts(spark):
+    page = lambda k: (k, f"http://h{k}.org/", f'<a href="http://h{k + 1}.org/">')
+    pages = [page(k) for k in range(24)] + [(24, "http://h24.org/x", None)]
+    rules = [("block", "h24.org/"), ("allow", "h30.org/")]
+    links = Counter({(f"h{k}.org", f"h{k + 1}.org"): 1 for k in range(24)})
+    share = ranks_by_hand([(f"h{k}.org", "block" if k == 24 else None) for k in range(25)], rules, links, 0.85, 200)
+    rows = link_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()
+    for r in rows:
+        assert r.distrust_share == pytest.approx(share[r.host], abs=1e-3)
+    assert min(r.distrust_share for r in rows) > 0
+
+
 NOTICE = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
 LICENSED = [
     None, "", "plain text", "Released under the MIT License.", "mit mit license apache license MIT-License", "Licensed under the Apache License, Version 2.0.", "occ cc by CC-BY, accc by",
