@@ -1,12 +1,16 @@
 """Op 4: secrets in texts, with a guess-cost estimate for values in credential contexts.
 
 Base spans are assignments of long values to credential names, access key ids and long hex runs. The
-method looks at every value that a credential name introduces in some other way too, and works out how
+method looks at every value that a credential name introduces, those in assignment spans too, and works out how
 many guesses the cheapest segmentation of the value needs: dynamic programming over words, dates, repeats,
 keyboard walks and brute-force characters. A value that needs `least_log10` guesses or more is a `guess`
-span, unless an assignment span already covers it. Weak values ("password: changeme") are not reported.
+span; cheaper ones ("password: changeme") are counted as weak. Nothing but the cost decides.
 
-One pass over the texts in Arrow batches; a text without any of the names or runs is passed by with byte
+Words are ranked: first those that guessers try first (WORDS), then the `dictionary_words` words that stand in most
+documents of the corpus, counted over all of them (a parameter that bounds the guesser's dictionary, not the scan). Values in
+credential contexts are left out of that count, so that a secret in many copies doesn't become a word.
+
+The scan is one pass over the texts in Arrow batches; a text without any of the names or runs is passed by with byte
 searches. Positions are code points, ends exclusive.
 
 Defined cases: a null or empty text has no spans; rows that repeat are each reported; an empty table gives no
@@ -41,73 +45,115 @@ user guest default changeme example sample demo public private access system ser
 prod staging backup office company google amazon apple windows linux oracle mysql pass word my the your this is not none
 null true false here value string insert replace enter placeholder foo bar baz abc temp temporary dummy fake""".split()
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+LONGEST_WORD = 24
 _LEET = str.maketrans("4@31!0$57+", "aaeiiosstt")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {(a, b) for r in _ROWS for x in (r, r[::-1]) for a, b in zip(x, x[1:])} | {(a, b) for r1, r2 in zip(_ROWS[1:], _ROWS[2:]) for x, y in zip(r1, r2) for a, b in ((x, y), (y, x))}
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+_DATES = [re.compile(p, re.A) for p in (r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", r"(?:19|20)\d\d")]
 
 
 def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of value.
+def word_log10(rank: int, written: str, low: str, plain: str) -> float:
+    """A word: its rank, doubled for other than lower case and for each letter written as a digit or sign."""
+    return math.log10(rank * (1 + (written != low)) * 2 ** sum(x != y for x, y in zip(low, plain)) + 1)
+
+
+def repeat_log10(first: str, length: int, steady: bool) -> float:
+    """A run of one character, or (steady) of an ascending or descending sequence: its alphabet times its length."""
+    return math.log10(_alphabet(first) * length * (1 + steady))
+
+
+def walk_log10(length: int) -> float:
+    """A keyboard walk of three keys or more: its start, its length, and two ways to go at each key."""
+    return math.log10(47 * length) + 0.3 * (length - 1)
+
+
+def date_log10(length: int) -> float:
+    """A date: 100 years of days, or of years alone."""
+    return math.log10(36525 if length > 4 else 150)
+
+
+def folded(value: str) -> tuple[str, str]:
+    """value in lower case, and with digits and signs that stand for letters as these."""
+    low = value.lower()
+    return (low, low.translate(_LEET)) if len(low) == len(value) else (value, value)  # some capitals have longer lower-case forms
 
-    A word costs its rank, doubled for other than lower case and for each letter written as a digit or sign; a date
-    100 years of days; a run of one character or of an ascending or descending sequence its alphabet times its length;
-    a keyboard walk of three keys or more its start, its length and two ways to go at each key; any character else its
-    alphabet. Segments multiply. Runs and walks are taken whole or cut short, so the work grows linearly with the
-    length, but for the runs themselves.
+
+class _Run:
+    """Where a run that ends here may have begun, at least cost. A start that an earlier one has beaten stays beaten, since the
+    earlier one's length counts for ever less, so it is dropped; in a run of n characters nearly all starts are."""
+
+    def __init__(self):
+        self.begin, self.starts = 0, []
+
+    def grow(self, goes_on: bool, i: int, best: list[float], cost) -> float:
+        if not goes_on:
+            self.begin, self.starts = i - 1, []
+            return math.inf
+        if i - self.begin < 3:
+            return math.inf
+        self.starts.append(i - 3)
+        costs = [best[s] + cost(s, i - s) for s in self.starts]
+        least = min(costs)
+        del self.starts[costs.index(least) + 1 :]
+        return least
+
+
+def guess_cost(value: str, ranks: dict[str, int] = _RANK, enough: float = math.inf) -> float:
+    """log10 of the guesses for the cheapest segmentation of value: the least sum of its segments' costs.
+
+    Segments are words, dates, runs of at least three characters (equal, or each one above or one below the last), keyboard
+    walks of at least three keys, and single characters, which cost their alphabet. The work grows linearly with the length. Once
+    every way to go on costs `enough`, that bound is returned.
     """
-    n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
-    if len(low) != n:  # some capitals have longer lower-case forms
-        low = plain = value
+    n = len(value)
+    low, plain = folded(value)
     best = [0.0] + [math.inf] * n
-    same, steady, walk = 0, 0, 0  # how far the run that ends at i reaches back
-    delta = 0
+    same, steady, walk, delta = _Run(), _Run(), _Run(), 0
     dates: dict[int, list[int]] = {}
     for i in range(n):
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
-            dates.setdefault(i + 4, []).append(i) if value[i : i + 2] in ("19", "20") and value[i : i + 4].isdigit() and i + 4 <= n else None
+        if value[i].isdigit():
+            for pattern in _DATES:
+                if m := pattern.match(value, i):
+                    dates.setdefault(m.end(), []).append(i)
     for i in range(1, n + 1):
-        cost = best[i - 1] + math.log10(_alphabet(value[i - 1]))
+        b = value[i - 1]
+        cost = best[i - 1] + math.log10(_alphabet(b))
         if i > 1:
-            a, b = value[i - 2], value[i - 1]
+            a = value[i - 2]
             step = ord(b) - ord(a)
-            same = same + 1 if a == b else 0
-            steady = (steady + 1 if step == delta else 1) if abs(step) == 1 and a.isalnum() and b.isalnum() else 0
-            walk = walk + 1 if (low[i - 2], low[i - 1]) in _NEXT else 0
+            cost = min(cost, same.grow(a == b, i, best, lambda s, k: repeat_log10(value[s], k, False)))
+            up = abs(step) == 1 and a.isalnum() and b.isalnum()
+            if up and step != delta and i > 2 and steady.begin != i - 2:
+                steady.begin, steady.starts = i - 2, []  # the direction turned: a run may begin at a
+            cost = min(cost, steady.grow(up, i, best, lambda s, k: repeat_log10(value[s], k, True)))
+            cost = min(cost, walk.grow((low[i - 2], low[i - 1]) in _NEXT, i, best, lambda s, k: walk_log10(k)))
             delta = step
-            for back, base in ((same, 1), (steady, 2)):
-                if back >= 2:
-                    for j in {back, max(2, back // 2)}:
-                        cost = min(cost, best[i - 1 - j] + math.log10(_alphabet(value[i - 1 - j]) * (j + 1) * base))
-            if walk >= 2:
-                for j in {walk, max(2, walk // 2)}:
-                    cost = min(cost, best[i - 1 - j] + math.log10(47 * (j + 1)) + 0.3 * j)
-        for j in range(max(0, i - _LONGEST), i - 2):
-            rank = _RANK.get(plain[j:i])
+        for j in range(max(0, i - LONGEST_WORD), i - 2):
+            rank = ranks.get(plain[j:i])
             if rank:
-                written = value[j:i]
-                swaps = sum(x != y for x, y in zip(low[j:i], plain[j:i]))
-                cost = min(cost, best[j] + math.log10(rank * (1 + (written != low[j:i])) * 2**swaps + 1))
+                cost = min(cost, best[j] + word_log10(rank, value[j:i], low[j:i], plain[j:i]))
         for j in dates.get(i, ()):
-            cost = min(cost, best[j] + math.log10(36525 if i - j > 4 else 150))
+            cost = min(cost, best[j] + date_log10(i - j))
         best[i] = cost
+        if not i % 64:
+            reach = min(i - 2 * LONGEST_WORD, same.begin, walk.begin, steady.begin)
+            if reach >= 0 and (least := min(best[reach : i + 1])) >= enough:
+                return least
     return best[n]
 
 
-def find_spans(text: str, least_log10: float) -> list[tuple[int, int, int]]:
-    """(start, kind, end), kinds by their place in KINDS; sorted."""
+def find_spans(text: str, least_log10: float, ranks: dict[str, int] = _RANK) -> tuple[list[tuple[int, int, int]], int]:
+    """(start, kind, end), kinds by their place in KINDS, sorted; and how many values are weak."""
     if not text:
-        return []
+        return [], 0
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.lower()
     spans: list[tuple[int, int, int]] = []
+    weak = 0
     named = any(x in low for x in _NAMES)
     if named:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -116,39 +162,46 @@ def find_spans(text: str, least_log10: float) -> list[tuple[int, int, int]]:
     if b"x" * 16 in raw.translate(_HEX_ONLY):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
     if named:
-        covered = [(s, e) for s, k, e in spans if k == 0]
         for m in CONTEXT.finditer(text):
-            s, e = m.span(1)
             value = m.group(1).rstrip(".:!?")
-            e = s + len(value)
-            if any(a <= s and e <= b for a, b in covered):
-                continue
-            classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
-            if classes >= 2 and guess_cost(value) >= least_log10:
-                spans.append((s, 3, e))
-    return sorted(spans)
+            if guess_cost(value, ranks, least_log10) >= least_log10:
+                spans.append((m.start(1), 3, m.start(1) + len(value)))
+            else:
+                weak += 1
+    return sorted(spans), weak
 
 
 _HEX_ONLY = bytes(ord("x") if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 
-def scan(docs: DataFrame, *, least_log10: float = 12.0) -> DataFrame:
-    """For each document: spans array<struct<kind, start, end>>, by start and then kind."""
+def common_words(docs: DataFrame, dictionary_words: int) -> list[str]:
+    """The words (3 to LONGEST_WORD letters, in lower case) that stand in most documents, in that order; values in credential contexts aside."""
+    named = F.regexp_like("text", F.lit("(?i)" + "|".join(x.decode() for x in _NAMES)))
+    prose = F.when(named, F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")).otherwise(F.col("text"))
+    own = F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit(rf"\p{{L}}{{3,{LONGEST_WORD}}}"), F.lit(0)))
+    counts = docs.where("text is not null").select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(dictionary_words).collect()]
+
+
+def scan(docs: DataFrame, *, least_log10: float = 12.0, dictionary_words: int = 20_000) -> DataFrame:
+    """For each document: spans array<struct<kind, start, end>>, by start and then kind; n_weak, its credential values of fewer guesses."""
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    ranks = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *common_words(docs, dictionary_words)]))}
 
     def run(batches):
         for batch in batches:
-            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t.as_py(), least_log10)] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kinds)], names=["doc_id", "spans"])
+            spans, weak = zip(*[find_spans(t.as_py(), least_log10, ranks) for t in batch.column(1)]) if batch.num_rows else ((), ())
+            named = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in own] for own in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, kinds), pa.array(weak, pa.int64())], names=["doc_id", "spans", "n_weak"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>, n_weak long")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts, checksum and text form of the spans."""
     joined = lambda where: F.expr(f"array_join(transform(filter(spans, x -> {where}), x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
     count = lambda kind: F.expr(f"cast(size(filter(spans, x -> x.kind = '{kind}')) as bigint)").alias(f"n_{kind}")
-    return scanned.select("doc_id", *map(count, KINDS), F.sha2(joined("x.kind <> 'guess'").cast("binary"), 256).alias("base_sha256"), joined("true").alias("spans"))
+    return scanned.select("doc_id", *map(count, KINDS), "n_weak", F.sha2(joined("x.kind <> 'guess'").cast("binary"), 256).alias("base_sha256"), joined("true").alias("spans"))
 
 
 def redact(text: str, spans: list) -> str:
