@@ -1,26 +1,29 @@
 """Op 2: nearest neighbours by randomly rotated one-bit codes.
 
-Each vector, less the mean and scaled to length 1, is rotated at random (padded with zeros to `bits`
-dimensions first, which makes the code longer) and kept as its signs, packed, with two scalars: its
-distance to the mean and its inner product with its own code. The inner product of a rotated query with
-the packed bits, divided by that scalar, estimates the cosine without bias; its error is below
-`eps` * sqrt((1 - ip^2) / ip^2 / (bits - 1)) but for a few in a hundred, and each vector gets a lower and
+Each vector, less the mean and scaled to length 1, is rotated at random (into `bits` dimensions, four for each of
+its own) and kept as its signs, packed in 64-bit words, with two scalars: its distance to the mean and its inner product with
+its own code. A rotated query is rounded to QUERY_BITS bits a dimension; its inner product with a code is then counted: for
+each bit plane of the query the set bits that it shares with the code. Divided by the code's scalar, that
+estimates the cosine without bias; its error is below `eps` standard deviations but for a few in a hundred, and each vector gets a lower and
 an upper bound of its squared distance. Only vectors whose lower bound does not exceed the k-th smallest
 upper bound are read in full and ranked by the exact distance.
 
-Every row is indexed, in blocks; query blocks meet index blocks by an equi-join on the query block's
-number, and what leaves a pair of blocks is k + 1 rows a query. Equal vectors are searched once: at most
+Every row is indexed. Codes are kept apart from the vectors, in blocks; blocks of codes meet blocks of queries, and each pair of
+a query block and a share of the code blocks is a task of its own, however many of either there are. A task hands over what its
+own bounds leave; the bounds of all tasks then leave the rows to read, by a join on their ids. Equal vectors are searched once: at most
 k + 1 of them, those of the smallest ids, can be among the k nearest of any query, so a group of copies of
 any size costs k + 1 rows.
 
 Defined cases: vectors that are null, zero, of another length than most (the shorter, in a tie), or that hold
-null or non-finite components take no part, nor do rows without vec_id; rows that repeat vec_id and vector
-count once; a query is never its own neighbour, nor is another vector of its vec_id; fewer candidates than k
+null or non-finite components take no part, nor do rows without vec_id; of rows that share a vec_id the one with the
+smallest vector (compared component by component) takes part; a query is never its own neighbour; fewer candidates than k
 give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,104 +32,143 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-INDEX = "ids binary, vectors binary, codes binary, norms binary, ips binary, n int"
-BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+INDEX = "ids binary, codes binary, norms binary, ips binary, n int"
+SURVIVORS = "q long, vec_id long, lower double, upper double"
+BLOCK_ROWS, QUERY_ROWS, QUERY_BITS = 2048, 4096, 4
+#: Pairs of a code and a query that a task compares, about; and tasks at most.
+TASK_PAIRS, MOST_TASKS = 1 << 22, 20_000
 
 
 def usable(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Rows that take part, each once: vec_id and v (array<double>)."""
+    """Rows that take part, one a vec_id: vec_id and v (array<double>)."""
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)"))
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (top.n if top else 0)).distinct()
+    return rows.where(F.size("v") == (top.n if top else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _turned(x: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to the centre, and rotated directions from there."""
+    o = x - centre
+    norms = np.linalg.norm(o, axis=1)
+    return norms, (o / np.where(norms > 0, norms, 1)[:, None]) @ rotation.T
+
+
+def encode(x: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (rows by 64-bit words), distances to the centre, inner products with the own code."""
+    norms, z = _turned(x, centre, rotation)
+    ips = np.abs(z).sum(1) / np.sqrt(len(rotation))
+    return np.packbits(z >= 0, axis=1).view("<u8"), norms, np.where(norms > 0, ips, 1)
+
+
 def index(vectors: DataFrame, centre: np.ndarray, rotation: np.ndarray) -> DataFrame:
-    """Blocks of rows of vectors (vec_id, v) with their codes."""
+    """Blocks of the codes of vectors (vec_id, v); the vectors themselves stay where they are."""
     names = [x.split()[0] for x in INDEX.split(", ")]
-    kinds = [pa.binary()] * 5 + [pa.int32()]
+    kinds = [pa.binary()] * 4 + [pa.int32()]
 
     def build(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(at, BLOCK_ROWS)
-                x = _matrix(batch.column(1))
-                o = x - centre
-                norms = np.linalg.norm(o, axis=1)
-                z = (o / np.where(norms > 0, norms, 1)[:, None]) @ rotation.T
-                ips = np.abs(z).sum(1) / np.sqrt(len(rotation))
-                row = (np.asarray(batch.column(0), np.int64), x, np.packbits(z >= 0, axis=1), norms, np.where(norms > 0, ips, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*(a.tobytes() for a in row), len(x)], kinds)], names=names)
+                codes, norms, ips = encode(_matrix(batch.column(1)), centre, rotation)
+                row = (np.asarray(batch.column(0), np.int64), np.ascontiguousarray(codes.T), norms, ips)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*(a.tobytes() for a in row), batch.num_rows], kinds)], names=names)
 
     return vectors.mapInArrow(build, INDEX)
 
 
-def _scores(q: np.ndarray, block: dict, centre: np.ndarray, rotation: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of squared distances, queries by rows of the block."""
-    bits, n = len(rotation), block["n"]
-    signs = np.unpackbits(np.frombuffer(block["codes"], np.uint8).reshape(n, -1), axis=1, count=bits).astype(np.float32) * 2 - 1
-    norms, ips = np.frombuffer(block["norms"]), np.frombuffer(block["ips"])
-    own = q - centre
-    length = np.linalg.norm(own, axis=1)[:, None]
-    turned = ((own / np.where(length > 0, length, 1)) @ rotation.T).astype(np.float32)
-    cosine = (turned @ signs.T) / (ips * np.sqrt(bits))
-    off = eps * np.sqrt(np.maximum(0, 1 - ips**2) / ips**2 / (bits - 1)) + 1e-5
-    centred = norms**2 + length**2 - 2 * norms * length * cosine
-    slack = 2 * norms * length * off + 1e-9
-    return centred - slack, centred + slack
-
-
-def search(vectors: DataFrame, is_query: Column, *, k: int = 10, bits: int | None = None, eps: float = 2.0, seed: int = 7, **names) -> DataFrame:
+class Queries:
+    """Rotated queries as bit planes."""
+
+    def __init__(self, q: np.ndarray, centre: np.ndarray, rotation: np.ndarray):
+        self.bits = len(rotation)
+        self.norms, z = _turned(q, centre, rotation)
+        self.low, top = z.min(1), (1 << QUERY_BITS) - 1
+        self.step = np.maximum((z.max(1) - self.low) / top, 1e-12)
+        steps = np.rint((z - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.sums = self.low * self.bits + self.step * steps.sum(1, dtype=np.int64)
+        self.planes = [np.packbits((steps >> p) & 1, axis=1).view("<u8") for p in range(QUERY_BITS)]
+
+    def bounds(self, i: int, codes: np.ndarray, norms: np.ndarray, ips: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the squared distances of query i; codes are words by rows."""
+        shared, ones = np.zeros(codes.shape[1], np.uint32), np.zeros(codes.shape[1], np.uint32)
+        for w, word in enumerate(codes):
+            ones += np.bitwise_count(word)
+            for p, plane in enumerate(self.planes):
+                shared += np.bitwise_count(word & plane[i, w]).astype(np.uint32) << np.uint32(p)
+        # the code's components are 1 and -1 over sqrt(bits); the query's are low + step * (its planes)
+        inner = (2 * (self.low[i] * ones + self.step[i] * shared) - self.sums[i]) / math.sqrt(self.bits)
+        off = eps * np.sqrt(np.maximum(0, 1 - ips**2) / (self.bits - 1) + self.step[i] ** 2 / 12) / ips + 1e-6
+        length = self.norms[i]
+        middle, slack = norms**2 + length**2 - 2 * norms * length * inner / ips, 2 * norms * length * off + 1e-9
+        return middle - slack, middle + slack
+
+
+def search(vectors: DataFrame, is_query: Column, *, k: int = 10, bits: int | None = None, eps: float = 2.0, seed: int = 7, broadcast_rows: int = 200_000, **names) -> DataFrame:
     """The k nearest other vectors of each query row: query_id, rank, vec_id, score (Euclidean distance, double)."""
     rows = cut(usable(vectors, **names))
     first = rows.select(F.size("v").alias("d")).first()
     d = first.d if first else 1
-    bits = bits or max(64, 16 * d)
-    means = rows.agg(*[F.avg(F.col("v")[i]) for i in range(d)]).first()
-    centre = np.array([x or 0.0 for x in means])
+    bits = max(bits or 4 * d, d)
+    bits += -bits % 64
+    means = rows.agg(F.count("*"), *[F.avg(F.col("v")[i]) for i in range(d)]).first()
+    centre = np.array([x or 0.0 for x in means[1:]])
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, d)))[0]
 
     ranked = Window.partitionBy("v").orderBy("vec_id")
     candidates = rows.withColumn("own_r", F.row_number().over(ranked)).where(F.col("own_r") <= k + 1).drop("own_r")
     queries = rows.where(is_query)
-    distinct = queries.groupBy("v").agg(F.min("vec_id").alias("q"))
-    asked = cut(distinct)
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    asked = cut(queries.groupBy("v").agg(F.min("vec_id").alias("q")))
+    n_asked = asked.count()
+    blocks = max(1, math.ceil(n_asked / QUERY_ROWS))
+    shares = min(max(1, MOST_TASKS // blocks), max(1, math.ceil(means[0] * n_asked / TASK_PAIRS / blocks)))
     dealt = asked.withColumn("own_b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     packed = dealt.groupBy("own_b").agg(F.collect_list(F.struct("q", "v")).alias("asked"))  # about QUERY_ROWS in each
-    pairs = index(candidates, centre, rotation).withColumn("own_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "own_b")
+    packed = packed.withColumn("own_s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    coded = index(candidates, centre, rotation).withColumns({"own_s": F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"), "own_b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    pairs = coded.repartition(blocks * shares, "own_b", "own_s").join(packed.repartition(blocks * shares, "own_b", "own_s"), ["own_b", "own_s"])
 
-    def nearest(batches):
+    def likely(batches):
+        own: dict = {}  # of the query blocks met here: the queries, and each one's k + 1 smallest upper bounds so far
         for batch in batches:
-            for block in batch.to_pylist():
-                q = np.array([x["v"] for x in block["asked"]])
-                keys = np.array([x["q"] for x in block["asked"]])
-                ids = np.frombuffer(block["ids"], np.int64)
-                x = np.frombuffer(block["vectors"]).reshape(len(ids), -1)
-                keep = min(k + 1, len(ids))
+            for r in range(batch.num_rows):
+                block = {name: batch.column(name)[r].as_py() for name in ("own_b", "ids", "codes", "norms", "ips")}
+                if block["own_b"] not in own:
+                    some = batch.column("asked")[r].as_py()
+                    own = {block["own_b"]: (np.array([x["q"] for x in some]), Queries(np.array([x["v"] for x in some]), centre, rotation), np.full((len(some), k + 1), np.inf))}
+                keys, q, least = own[block["own_b"]]
+                ids, norms, ips = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["norms"]), np.frombuffer(block["ips"])
+                codes = np.frombuffer(block["codes"], "<u8").reshape(-1, len(ids))
                 out = []
-                for at in range(0, len(q), 256):
-                    lower, upper = _scores(q[at : at + 256], block, centre, rotation, eps)
-                    limit = np.partition(upper, keep - 1, axis=1)[:, keep - 1]
-                    for i in range(len(lower)):
-                        chosen = np.flatnonzero(lower[i] <= limit[i])
-                        total = np.zeros(len(chosen))
-                        for j in range(x.shape[1]):  # one component after the other, so that the sum's order is fixed
-                            total += (x[chosen, j] - q[at + i, j]) ** 2
-                        score = np.sqrt(total)
-                        best = np.lexsort((ids[chosen], score))[:keep]
-                        out.append((np.full(len(best), keys[at + i]), ids[chosen[best]], score[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["q", "vec_id", "score"])
-
-    found = pairs.select("ids", "vectors", "codes", "norms", "ips", "n", "asked").mapInArrow(nearest, "q long, vec_id long, score double")
+                for i in range(len(keys)):
+                    lower, upper = q.bounds(i, codes, norms, ips, eps)
+                    near = upper[upper < least[i, k]]
+                    if len(near):
+                        both = np.concatenate([least[i], near])
+                        least[i] = np.sort(both if len(both) <= 2 * k + 2 else np.partition(both, k)[: k + 1])[: k + 1]
+                    chosen = np.flatnonzero(lower <= least[i, k])
+                    if len(chosen):
+                        out.append((np.full(len(chosen), keys[i]), ids[chosen], lower[chosen], upper[chosen]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[x.split()[0] for x in SURVIVORS.split(", ")])
+
+    found = pairs.select("own_b", "ids", "codes", "norms", "ips", "asked").mapInArrow(likely, SURVIVORS)
+    by_upper = Window.partitionBy("q").orderBy("upper")
+    limit = F.max(F.when(F.col("own_r") <= k + 1, F.col("upper"))).over(Window.partitionBy("q"))
+    left = cut(found.withColumn("own_r", F.row_number().over(by_upper)).withColumn("own_limit", limit).where("lower <= own_limit").select("q", "vec_id"))
+    few = left.limit(broadcast_rows + 1).count() <= broadcast_rows
+    read = candidates.join(F.broadcast(left) if few else left, "vec_id")
+    squares = F.zip_with("v", "own_q", lambda a, b: (a - b) * (a - b))
+    score = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))  # one component after the other, so that the sum's order is fixed
+    scored = read.join(asked.select("q", F.col("v").alias("own_q")), "q").select("q", "vec_id", score.alias("score"))
     by_query = Window.partitionBy("q").orderBy("score", "vec_id")
-    best = found.withColumn("own_r", F.row_number().over(by_query)).where(F.col("own_r") <= k + 1).select("q", "vec_id", "score")
-    who = queries.join(distinct, "v").select(F.col("vec_id").alias("query_id"), "q")
+    best = scored.withColumn("own_r", F.row_number().over(by_query)).where(F.col("own_r") <= k + 1).select("q", "vec_id", "score")
+    who = queries.join(asked, "v").select(F.col("vec_id").alias("query_id"), "q")
     others = who.join(best, "q").where("vec_id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return others.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -134,9 +176,10 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 10, bits: int | Non
 
 ORACLE = """
 WITH e AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id
 ), p AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          sqrt(list_reduce(list_transform(list_zip(c.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score

@@ -16,38 +16,84 @@ def vectors(spark):
     rows = [(i, rng.normal(size=12).tolist()) for i in range(400)]
     rows += [(i, rows[7][1]) for i in range(1000, 1060)]  # many copies
     rows += [(2000, None), (2100, [0.0] * 12), (2200, [float("nan")] * 12), (2300, [1.0, None] * 6), (2400, [1.0] * 5), (None, [1.0] * 12), rows[20], rows[20]]
+    rows += [(2500, [0.5 + k] * 12) for k in range(30)] + [(5, [0.01 * k] * 12) for k in range(1, 25)]  # different vectors that share a vec_id
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"q": F.lit(1), "score": F.lit("x"), "n": F.lit(2)}).repartition(4)
 
 
-def test_nearest_against_brute_force(spark, vectors):
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}])
+def test_nearest_against_brute_force(spark, vectors, options, monkeypatch):
     rows, df = vectors
-    good = {i: np.array(np.float32(v), float) for i, v in rows if i is not None and i < 2000}
+    if options:  # many blocks and tasks
+        for name, value in (("BLOCK_ROWS", 50), ("QUERY_ROWS", 3), ("TASK_PAIRS", 200)):
+            monkeypatch.setattr(ann, name, value)
+    good = {}
+    for i, v in rows:
+        if i is not None and i < 2000 or i == 2500:
+            good[i] = min(good.get(i, [math.inf]), np.float32(v).astype(float).tolist())
     got = {}
-    for r in ann.search(df, F.col("vec_id") % 100 == 0, k=10, bits=1024).collect():
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, k=10, **options).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert set(got) == {i for i in good if i % 100 == 0}
     hits = total = 0
     for q, found in got.items():
         want = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(good[q], v))), i) for i, v in good.items() if i != q)[:10]
         found.sort()
-        assert [r for r, _, _ in found] == list(range(1, 11)) and all(q != i for _, i, _ in found)
+        assert [r for r, _, _ in found] == list(range(1, 11)) and len({i for _, i, _ in found} - {q}) == 10
         hits += len({i for _, i in want} & {i for _, i, _ in found})
         total += 10
-        assert all(math.isclose(s, math.sqrt(((good[q] - good[i]) ** 2).sum()), rel_tol=1e-12, abs_tol=1e-12) for _, i, s in found)
+        assert all(math.isclose(s, math.dist(good[q], good[i]), rel_tol=1e-12, abs_tol=1e-12) for _, i, s in found)
     assert hits >= 0.99 * total
 
 
-def test_bounds_hold_for_most(spark):
+def test_bounds_hold_for_most():
     rng = np.random.default_rng(4)
     x, q = rng.normal(size=(500, 16)), rng.normal(size=(20, 16))
     centre, rotation = x.mean(0), np.linalg.qr(rng.normal(size=(256, 16)))[0]
-    o = x - centre
-    norms = np.linalg.norm(o, axis=1)
-    z = (o / norms[:, None]) @ rotation.T
-    block = {"n": 500, "codes": np.packbits(z >= 0, axis=1).tobytes(), "norms": norms.tobytes(), "ips": (np.abs(z).sum(1) / 16).tobytes()}
-    lower, upper = ann._scores(q, block, centre, rotation, 2.0)
+    codes, norms, ips = ann.encode(x, centre, rotation)
+    asked = ann.Queries(q, centre, rotation)
     true = ((q[:, None] - x[None]) ** 2).sum(2)
-    assert ((lower <= true) & (true <= upper)).mean() > 0.93
+    held = []
+    for i in range(len(q)):
+        lower, upper = asked.bounds(i, np.ascontiguousarray(codes.T), norms, ips, 2.0)
+        held.append((lower <= true[i]) & (true[i] <= upper))
+    assert np.mean(held) > 0.93
+
+
+def test_counted_inner_products():
+    """Shared bits, plane by plane, give the inner product of the code with the rounded query."""
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(40, 20)), rng.normal(size=(3, 20))
+    centre, rotation = np.zeros(20), np.linalg.qr(rng.normal(size=(128, 20)))[0]
+    codes, norms, ips = ann.encode(x, centre, rotation)
+    asked = ann.Queries(q, centre, rotation)
+    signs = np.where(ann._turned(x, centre, rotation)[1] >= 0, 1, -1) / math.sqrt(128)
+    z = ann._turned(q, centre, rotation)[1]
+    rounded = np.rint((z - asked.low[:, None]) / asked.step[:, None]) * asked.step[:, None] + asked.low[:, None]
+    for i in range(3):
+        lower, upper = asked.bounds(i, np.ascontiguousarray(codes.T), norms, ips, 2.0)
+        middle = norms**2 + asked.norms[i] ** 2 - 2 * norms * asked.norms[i] * (signs @ rounded[i]) / ips
+        assert np.allclose((lower + upper) / 2, middle)
+
+
+def test_recall_of_many_vectors(spark):
+    """Default settings on 100,000 vectors of 32 dimensions, clustered and not."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(100_000, 32)).astype(np.float32)
+    x[:50_000] += 3 * rng.normal(size=(20, 32))[rng.integers(0, 20, 50_000)]
+    import pyarrow as pa
+
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 32, dtype=np.int32)), pa.array(x.reshape(-1)))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": flat}))
+    hits = 0
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 2500 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(found) == 40
+    for q, own in found.items():
+        far = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(own & set(np.argsort(far)[:10].tolist()))
+    assert hits >= 0.99 * 400
 
 
 def test_few_and_no_vectors(spark):
