@@ -4,9 +4,11 @@ A rule allows or blocks a host with all its subdomains below a path prefix; the
 Pages without a fitting rule get their host's verdict. Hosts are linked where a page of one links to the
 other, and where one is the parent domain of the other. Trust starts at the hosts of allowed pages and follows
 the links (personalised PageRank); distrust starts at the hosts of blocked pages and follows them backwards, since
-linking to a blocked host is what makes a host suspect. Both start with the share of such pages among all pages, and
-so does the weight of pages that no rule fits, which do not spread. A host is blocked if distrust is more than
-`threshold` of the sum of the three.
+linking to a blocked host is what makes a host suspect. Each is held against the host's own neutral rank: that of a walk in
+the same direction that starts at all pages alike. A host is blocked if its distrust, as a multiple of its neutral rank, is
+above 1 (it is more suspect than its pages and links alone would make it) and above its trust, as such a multiple: with
+distrust d and trust t, d / (d + max(t, 1)) must be above `threshold`. Each rank sums up to 1; what reaches a host without
+links onward goes back to where the walk started.
 
 Links are counted by pair of hosts before they are shuffled, ranks have one row a host, and each step is written to the
 checkpoint folder; steps end when the ranks move by less than `tolerance` in sum, which damping brings about in some 90 steps, or after
@@ -19,6 +21,8 @@ no links; rows that repeat are each judged; other columns are not read; an empty
 from __future__ import annotations
 
 import itertools
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,43 +69,48 @@ def family_links(hosts: DataFrame) -> DataFrame:
     return known.select("src", "dst", "weight").unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
+RANKS = ("trust", "distrust", "ahead", "behind")
+
+
 def host_ranks(judged: DataFrame, links: DataFrame, *, damping: float = 0.85, steps: int | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """host, trust, distrust, neutral. judged has host and action of every page."""
-    total = max(1, judged.count())
-    seeds = judged.where("host <> ''").groupBy("host").agg(*[(F.count_if(F.coalesce("action", F.lit("none")) == a) / total).alias(name) for a, name in (("allow", "trust0"), ("block", "distrust0"), ("none", "neutral"))])
+    """host and its RANKS: ahead and behind are the neutral ranks along the links and against them. judged has host and action of every page."""
+    seeds = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("trust"), F.count_if(F.col("action") == "block").alias("distrust"), F.count("*").alias("ahead")).withColumn("behind", F.col("ahead"))
+    seeds = cut(seeds)
+    total = seeds.agg(*[F.sum(x).alias(x) for x in RANKS]).first()
     sums = links.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     out = sums.groupBy("src").agg(F.sum("weight").alias("out"))
     into = sums.groupBy("dst").agg(F.sum("weight").alias("into"))
-    edges = cut(sums.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("out")).alias("ahead"), (F.col("weight") / F.col("into")).alias("back")))
+    edges = cut(sums.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("out")).alias("forth"), (F.col("weight") / F.col("into")).alias("back")))
     linked = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct()
-    start = seeds.join(linked, "host", "full_outer").na.fill(0.0).withColumns({"trust": F.col("trust0"), "distrust": F.col("distrust0")})
-    ranks = cut(start)
-    if not edges.limit(1).count():
-        return ranks.select("host", "trust", "distrust", "neutral")
-    for _ in itertools.count() if steps is None else range(steps):
-        sent = ranks.select(F.col("host").alias("src"), "trust").join(edges, "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("ahead")).alias("t"), F.lit(0.0).alias("d"))
-        sent = sent.unionByName(ranks.select(F.col("host").alias("dst"), "distrust").join(edges, "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d")))
-        came = sent.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        moved = lambda seed, x: F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce(x, F.lit(0.0))
-        new = ranks.join(came, "host", "left").select("host", "trust0", "distrust0", "neutral", moved("trust0", "t").alias("trust"), moved("distrust0", "d").alias("distrust"), (F.abs(F.col("trust") - moved("trust0", "t")) + F.abs(F.col("distrust") - moved("distrust0", "d"))).alias("own_change"))
-        ranks = cut(new)
-        change = ranks.agg(F.sum("own_change")).first()[0]
-        ranks = ranks.drop("own_change")
-        if change < tolerance:
-            break
-    return ranks.select("host", "trust", "distrust", ((1 - damping) * F.col("neutral")).alias("neutral"))
+    start = seeds.select("host", *[(F.col(x) / max(1, total[x] or 0)).alias(f"{x}0") for x in RANKS]).join(linked, "host", "full_outer").na.fill(0.0)
+    ranks = cut(start.withColumns({x: F.col(f"{x}0") for x in RANKS}))
+    if edges.limit(1).count():
+        for _ in itertools.count() if steps is None else range(steps):
+            sent = lambda at, to, share, own: ranks.join(edges, ranks.host == edges[at]).select(edges[to].alias("host"), *[(F.col(x) * F.col(share) if x in own else F.lit(0.0)).alias(x) for x in RANKS])  # noqa: E731, B023
+            came = sent("src", "dst", "forth", ("trust", "ahead")).unionByName(sent("dst", "src", "back", ("distrust", "behind"))).groupBy("host").agg(*[F.sum(x).alias(f"{x}1") for x in RANKS])
+            moved = {x: F.lit(1 - damping) * F.col(f"{x}0") + F.lit(damping) * F.coalesce(f"{x}1", F.lit(0.0)) for x in RANKS}
+            change = reduce(add, [F.abs(F.col(x) - moved[x]) for x in RANKS])
+            ranks = cut(ranks.join(came, "host", "left").select("host", *[f"{x}0" for x in RANKS], *[moved[x].alias(x) for x in RANKS], change.alias("own_change")))
+            done = ranks.agg(F.sum("own_change")).first()[0] < tolerance
+            ranks = ranks.drop("own_change")
+            if done:
+                break
+    # what a walk loses at hosts without links goes back to its start, which multiplies the rank of every host alike
+    total = ranks.agg(*[F.sum(x).alias(x) for x in RANKS]).first()
+    return ranks.select("host", *[(F.col(x) / (total[x] or 1.0)).alias(x) for x in RANKS])
 
 
 def judge(pages: DataFrame, rules=RULES, *, threshold: float = 0.5, family: bool = True, **options) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's distrust share."""
+    """page_id, host, path, rule, verdict, and the host's distrust_share: d / (d + max(t, 1))."""
     own = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     judged = own.withColumns({"rule": rule, "action": action})
     links = host_links(pages)
     if family:
         links = links.unionByName(family_links(judged.where("host <> ''").select("host").distinct()))
-    ranks = host_ranks(judged, links, **options)
-    share = ranks.select(F.col("host").alias("own_host"), F.coalesce(F.try_divide("distrust", F.col("trust") + F.col("distrust") + F.col("neutral")), F.lit(0.0)).alias("distrust_share"))
+    lift = lambda x, neutral: F.coalesce(F.try_divide(x, neutral), F.lit(0.0))
+    d, t = lift("distrust", "behind"), lift("trust", "ahead")
+    share = host_ranks(judged, links, **options).select(F.col("host").alias("own_host"), (d / (d + F.greatest(t, F.lit(1.0)))).alias("distrust_share"))
     found = judged.join(share, F.col("host") == F.col("own_host"), "left").drop("own_host")
     verdict = F.coalesce("action", F.when(F.col("distrust_share") > threshold, F.lit("block")).otherwise(F.lit("allow")))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("distrust_share", F.lit(0.0)).alias("distrust_share"))
