@@ -51,12 +51,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once, keep it in the shared checkpoint folder, and go on from there.
 
-    Spark removes the files when no plan refers to them any more.
+    Spark's cleaner removes the files once no plan refers to them and the driver's garbage has been collected. It does so for
+    checkpoints written while spark.cleaner.referenceTracking.cleanCheckpoints is set, which is why this sets it, unless the
+    session says otherwise.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.cleaner.referenceTracking.cleanCheckpoints"
+    if not conf.contains(key):
+        conf.set(key, "true")
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until it is no column's (column names don't tell cases apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(col):
     """Lower-case A-Z only. Texts of one byte a character take the fast path, which is the same for them."""
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(

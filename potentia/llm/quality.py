@@ -13,10 +13,14 @@ among the labels the score is the share of label 1 (0.5 without labels); an empt
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Labelled rows to learn from at most: those with the smallest hashes of doc_id.
 SAMPLE_ROWS = 12_000
 
@@ -38,18 +42,14 @@ STATISTICS = {
 }
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs with a struct own_s of STATISTICS."""
-    text = docs.withColumn("own_t", F.coalesce(F.col("text"), F.lit("")))
-    parts = text.withColumns({"own_w": F.split("own_t", r"\s+"), "own_l": F.split("own_t", "\n"), "own_n": F.greatest(F.length("own_t"), F.lit(1))})
-    own = lambda sql: F.expr(_named(sql)).cast("double")
-    return parts.withColumn("own_s", F.struct(*[own(sql).alias(name) for name, sql in STATISTICS.items()])).drop("own_t", "own_w", "own_l", "own_n")
-
-
-def _named(sql: str) -> str:
-    import re
-
-    return re.sub(r"\b(t|n|w|l)\b(?![(}'])(?=[,) ]|$)", r"own_\1", sql)
+def statistics(docs: DataFrame, own_s: str = "own_s") -> DataFrame:
+    """docs with a struct own_s of STATISTICS (a name that no column has)."""
+    t, n, w, l = fresh([*docs.columns, own_s], "own_t", "own_n", "own_w", "own_l")  # noqa: E741
+    parts = docs.withColumn(t, F.coalesce(F.col("text"), F.lit("")))
+    parts = parts.withColumns({w: F.split(t, r"\s+"), l: F.split(t, "\n"), n: F.greatest(F.length(t), F.lit(1))})
+    names = {"t": t, "n": n, "w": w, "l": l}
+    own = lambda sql: F.expr(re.sub(r"\b(t|n|w|l)\b(?![(}'])(?=[,) ]|$)", lambda m: f"`{names[m[1]]}`", sql)).cast("double")
+    return parts.withColumn(own_s, F.struct(*[own(sql).alias(name) for name, sql in STATISTICS.items()])).drop(t, n, w, l)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -125,13 +125,13 @@ class RuleEnsemble:
     def __init__(self, intercept: float, rules: list[tuple[float, frozenset]]):
         self.intercept, self.rules = intercept, rules
 
-    def score(self) -> Column:
+    def score(self, own_s: str = "own_s") -> Column:
         names = list(STATISTICS)
         total = F.lit(self.intercept)
         for weight, rule in self.rules:
             holds_here = F.lit(True)
             for j, below, t in sorted(rule):
-                value = F.col("own_s")[names[j]]
+                value = F.col(own_s)[names[j]]
                 holds_here = holds_here & ((value <= t) if below else (value > t))
             total = total + F.when(holds_here, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
@@ -161,11 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", penalty:
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 from threshold on); columns of docs with these names give way."""
     model = fit(docs, labels, **options)
-    scored = statistics(docs).withColumn("own_score", model.score())
-    return scored.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")], held_out(F.col("doc_id")).alias("held_out"), F.col("own_score").alias("score"), (F.col("own_score") >= threshold).cast("int").alias("predicted"))
+    own_s, own_score = fresh(docs.columns, "own_s", "own_score")
+    scored = statistics(docs, own_s).withColumn(own_score, model.score(own_s))
+    return scored.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")], held_out(F.col("doc_id")).alias("held_out"), F.col(own_score).alias("score"), (F.col(own_score) >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with their columns."""
     model = fit(docs, labels, **options)
-    return statistics(docs).where(model.score() >= threshold).select(*docs.columns)
+    (own_s,) = fresh(docs.columns, "own_s")
+    return statistics(docs, own_s).where(model.score(own_s) >= threshold).select(*docs.columns)
