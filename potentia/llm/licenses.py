@@ -1,15 +1,16 @@
 """Op 10: licence scan by a positional index of rare words, in DataFrame operations only.
 
 Words are runs of digits, a-z (after lower-casing A-Z) and characters from U+0080 on. Licence templates are short
-notices; their words are the index's vocabulary, with postings (template, position). How many documents hold each of
-these words is counted over the whole corpus. The rarer half of each template's words (at most `rare_words`, at least
-three) is looked up in every file, so no licence of a file takes the votes of another; a posting votes for the place
-where the template would have to begin. Where enough of a template's postings agree on one place, and its mandatory key
-phrase stands there word for word, the file gets the template's label.
+notices; their words are the index's vocabulary. How many documents hold each of these words is counted over the whole
+corpus, and the rarer half of each template's words (at least three) is posted: word -> (template, position). Every
+posted word of a file votes, for each of its postings, for the place where that template would have to begin. Where
+enough of a template's postings agree on one place, and its mandatory key phrase stands there word for word, the file
+gets the template's label. No licence of a file takes the votes of another, and no number of votes is too many.
 
-The work on a document stays in its row (array functions), so nothing is shuffled but the word counts, summed before.
-A document without any of the strings that every key phrase has one of (ANCHORS) can't match and is passed by; so is
-a template where a word of its key phrase is nowhere in the text.
+The postings are a literal map of a few hundred entries, so the lookup and the votes on a document stay in its row
+(array functions, in time linear in the file's words but for one sort of its votes) and nothing is shuffled but the word
+counts, summed before. A document without any of the strings that every key phrase has one of (ANCHORS) can't match and
+is passed by.
 
 Defined cases: a null or empty text has no words and no labels, and its first and last word are null; rows that repeat are each
 scanned; an empty table gives no rows; other columns are not read.
@@ -17,8 +18,6 @@ scanned; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +49,10 @@ TEMPLATES = [
 ]
 #: Each key phrase and base phrase holds one of these; "cc by" has its own pattern.
 ANCHORS = ("licens", "permission", "redistribution", "cc0", "unencumbered")
-_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words as runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing; a class without negation is much faster in Java.
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+_SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_ANCHOR = rf"(?i){'|'.join(ANCHORS)}|cc{_SPLIT}by"
 
 
 def words(low: Column) -> Column:
@@ -77,46 +78,82 @@ def document_counts(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     return {r.word: r.n for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, *, rare_words: int = 24, least_share: float = 0.5) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (share of agreeing postings of the best template)."""
-    counts = document_counts(docs, templates)
-    frequency = {w: counts.get(w, 0) for w in vocabulary(templates)}
-    by_rarity = sorted(frequency, key=lambda w: (frequency[w], w))
-    rank = {w: i for i, w in enumerate(by_rarity)}
+def rare_words(templates, frequency: dict[str, int]) -> list[list[str]]:
+    """For each template the rarer half of its words, three at least."""
+    out = []
+    for _, text, _ in templates:
+        own = set(text.split())
+        out.append(sorted(own, key=lambda w: (frequency.get(w, 0), w))[: max(3, len(own) // 2)])
+    return out
 
-    low = docs.select("doc_id", _low().alias("own_low"))
-    can_match = reduce(lambda a, b: a | b, [F.contains("own_low", F.lit(x)) for x in ANCHORS]) | F.regexp_like("own_low", F.lit(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"))
-    row = low.withColumn("can_match", can_match).select("doc_id", "own_low", "can_match", F.regexp_count("own_low", F.lit(_WORD)).cast("long").alias("n_words"), F.when(F.col("can_match"), words(F.col("own_low"))).otherwise(F.array().cast("array<string>")).alias("w"))
 
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (share of agreeing postings of the best template)."""
+    rare = rare_words(templates, document_counts(docs, templates))
+    split = [(text.split(), phrase.split()) for _, text, phrase in templates]
+    # a vote is the template's number times 2^40, plus 2^32, plus the word at which the template would begin
+    codes: dict[str, list[int]] = {}
+    for t, (text, _) in enumerate(split):
+        for i, x in enumerate(text):
+            if x in rare[t]:
+                codes.setdefault(x, []).append((t << 40) + (1 << 32) - i)
+    posted = [sum(x in rare[t] for x in text) for t, (text, _) in enumerate(split)]
+    need = [max(2, n // 2) for n in posted]
+    key_at = [next(i for i in range(len(text)) if text[i : i + len(key)] == key) for text, key in split]
+    postings = "map(" + ", ".join(f"'{x}', array({', '.join(f'{c}L' for c in own)})" for x, own in codes.items()) + ")"
+    of = lambda values: f"array({', '.join(values)})"
+    t = "cast(shiftright(v, 40) as int)"
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    row = docs.select("doc_id", text.alias("own_text"), F.regexp_like(text, F.lit(_ANCHOR)).alias("can_match"))
+    row = row.select("doc_id", F.regexp_count("own_text", F.lit(_WORD)).cast("long").alias("n_words"), F.when(F.col("can_match"), words(lower_ascii(F.col("own_text")))).otherwise(F.array().cast("array<string>")).alias("w"))
     fits = {phrase: " and ".join(f"get(w, i + {k}) = '{x}'" if k else f"x = '{x}'" for k, x in enumerate(phrase.split())) for phrase in BASE}
     row = row.withColumns({f"own_b{n}": F.expr(f"filter(transform(w, (x, i) -> if({fits[p]}, i, null)), i -> i is not null)") for n, p in enumerate(BASE)})
-    row = row.withColumn("own_places", F.expr(f"concat({', '.join(f'own_b{n}' for n in range(len(BASE)))})"))
-
-    rares = [sorted(set(text.split()), key=rank.get)[: min(rare_words, max(3, len(set(text.split())) // 2))] for _, text, _ in templates]
-    held = [reduce(lambda a, b: a & b, [F.contains("own_low", F.lit(x)) for x in sorted(set(phrase.split()), key=rank.get)]) for _, _, phrase in templates]
-    row = row.withColumns({f"own_h{t}": F.col("can_match") & h for t, h in enumerate(held)}).drop("own_low", "can_match")
-    postable = F.expr(f"filter(transform(w, (x, i) -> struct(x as x, i as i)), p -> p.x in ({_list(sorted({x for xs in rares for x in xs}))}))")
-    row = row.withColumn("own_rare", F.when(reduce(lambda a, b: a | b, [F.col(f"own_h{t}") for t in range(len(templates))]), postable))
-    for t, (_, text, phrase) in enumerate(templates):
-        own, key = text.split(), phrase.split()
-        at = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
-        rare = rares[t]
-        posted = [i for i, x in enumerate(own) if x in rare]
-        need = max(2, -(-int(len(posted) * least_share * 2) // 2))
-        postings = f"map({', '.join(f'{chr(39)}{x}{chr(39)}, array({_list(i for i in posted if own[i] == x)})' for x in rare)})"
-        begins = f"array_sort(flatten(transform(filter(own_rare, p -> p.x in ({_list(rare)})), p -> transform({postings}[p.x], q -> p.i - q))))"
-        verified = f"begin + {at} >= 0 and slice(w, greatest(1, begin + {at + 1}), {len(key)}) = array({_list(key)})"
-        fold = f"""aggregate({begins}, named_struct('cur', cast(null as int), 'n', 0, 'best', 0, 'ok', false), (s, begin) -> named_struct(
-            'cur', begin, 'n', if(s.cur = begin, s.n + 1, 1),
-            'best', if(s.cur = begin and s.n + 1 >= {need} and s.n + 1 > s.best, if({verified}, s.n + 1, s.best), s.best),
-            'ok', s.ok or (if(s.cur = begin, s.n + 1, 1) >= {need} and {verified})))"""
-        row = row.withColumn(f"own_t{t}", F.expr(f"if(own_h{t}, transform(array({fold}), s -> struct(s.ok as ok, least(1D, greatest(s.best, if(s.ok, {need}, 0)) / {len(posted)}D) as share))[0], struct(false as ok, 0D as share))"))
-
+    hits = f"filter(transform(w, (x, i) -> struct(x as x, i as i)), p -> p.x in ({_list(codes)}))"
+    row = row.withColumns({"own_places": F.expr(f"concat({', '.join(f'own_b{n}' for n in range(len(BASE)))})"), "own_hits": F.expr(hits)})
+    row = row.withColumn("own_votes", F.expr(f"sort_array(flatten(transform(own_hits, p -> transform({postings}[p.x], c -> c + p.i))))"))
+    # votes that agree lie side by side; the first of enough of them stands for the place, with how many there are
+    agreed = f"""filter(transform(own_votes, (v, k) -> if(not (k > 0 and get(own_votes, k - 1) = v) and get(own_votes, k + get({of(map(str, need))}, {t}) - 1) = v, named_struct(
+        't', {t}, 'begin', cast(v % 1099511627776L - 4294967296L as int), 'n', aggregate(sequence(0, get({of(map(str, posted))}, {t}) - 1), 0, (n, m) -> n + if(get(own_votes, k + m) = v, 1, 0))), null)), s -> s is not null)"""
+    row = row.withColumn("own_agreed", F.expr(agreed))
+    phrases = of(of(f"'{x}'" for x in key) for _, key in split)
+    start = f"s.begin + get({of(map(str, key_at))}, s.t)"
+    row = row.withColumn("own_found", F.expr(f"filter(own_agreed, s -> {start} >= 0 and slice(w, greatest(1, {start} + 1), size(get({phrases}, s.t))) = get({phrases}, s.t))"))
     based = [F.when(F.size(f"own_b{n}") > 0, F.lit(label)) for n, label in enumerate(BASE.values())]
-    found = [F.when(F.col(f"own_t{t}.ok"), F.lit(label)) for t, (label, _, _) in enumerate(templates)]
-    joined = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*xs)))), ",")
+    joined = lambda xs: F.array_join(F.sort_array(F.array_distinct(xs)), ",")
+    base = F.array_compact(F.array(*based))
+    found = F.expr(f"transform(own_found, s -> get({of(f"'{label}'" for label, _, _ in templates)}, s.t))")
+    best = F.expr(f"array_max(transform(own_found, s -> s.n / get({of(f'{n}D' for n in posted)}, s.t)))")
     return row.select(
         "doc_id", "n_words", F.size("own_places").cast("long").alias("n_base"), F.array_min("own_places").cast("long").alias("first_word"),
-        F.array_max("own_places").cast("long").alias("last_word"), joined(based).alias("base_labels"), joined([*based, *found]).alias("labels"),
-        F.greatest(*[F.when(F.col(f"own_t{t}.ok"), F.col(f"own_t{t}.share")).otherwise(F.lit(0.0)) for t in range(len(templates))]).alias("score"),
+        F.array_max("own_places").cast("long").alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, found)).alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"),
     )
+
+
+def oracle(templates=TEMPLATES) -> str:
+    """The same rows in DuckDB's SQL."""
+    text = [(t, label, i, x) for t, (label, own, _) in enumerate(templates) for i, x in enumerate(own.split())]
+    key = [(t, own.split(), phrase.split()) for t, (_, own, phrase) in enumerate(templates)]
+    keys = [(t, next(i for i in range(len(own)) if own[i : i + len(k)] == k) + j, x) for t, own, k in key for j, x in enumerate(k)]
+    values = lambda rows: ", ".join(f"({_list(r)})" for r in rows)
+    base = [(phrase, label, i, x) for phrase, label in BASE.items() for i, x in enumerate(phrase.split())]
+    return f"""
+WITH tw(t, label, i, x) AS (VALUES {values(text)}), ky(t, i, x) AS (VALUES {values(keys)}), bs(p, label, i, x) AS (VALUES {values(base)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM d),
+freq AS (SELECT v.x, count(DISTINCT r) AS n FROM (SELECT DISTINCT x FROM tw) v LEFT JOIN w ON w.x = v.x GROUP BY v.x),
+rare AS (SELECT t, x FROM (SELECT t, x, row_number() OVER (PARTITION BY t ORDER BY n, x) AS k, count(*) OVER (PARTITION BY t) AS c FROM (SELECT DISTINCT t, x FROM tw) JOIN freq USING (x)) WHERE k <= greatest(3, c // 2)),
+post AS (SELECT tw.t, tw.i, tw.x, count(*) OVER (PARTITION BY tw.t) AS posted FROM tw JOIN rare ON rare.t = tw.t AND rare.x = tw.x),
+votes AS (SELECT w.r, post.t, w.i - post.i AS b, count(*) AS n, max(posted) AS posted FROM w JOIN post ON w.x = post.x GROUP BY ALL HAVING count(*) >= greatest(2, max(posted) // 2)),
+kn AS (SELECT t, count(*) AS kn FROM ky GROUP BY t),
+found AS (SELECT v.r, v.t, v.b, any_value(v.n) AS n, any_value(v.posted) AS posted FROM votes v JOIN ky ON ky.t = v.t JOIN w ON w.r = v.r AND w.i = v.b + ky.i AND w.x = ky.x JOIN kn ON kn.t = v.t GROUP BY v.r, v.t, v.b HAVING count(*) = max(kn)),
+bn AS (SELECT p, count(*) AS bn FROM bs GROUP BY p),
+bf AS (SELECT w.r, bs.p, bs.label, w.i - bs.i AS b FROM w JOIN bs ON w.x = bs.x JOIN bn ON bn.p = bs.p GROUP BY ALL HAVING count(*) = max(bn)),
+bd AS (SELECT r, count(*) AS n_base, min(b) AS first_word, max(b) AS last_word FROM bf GROUP BY r),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT r, label FROM bf) GROUP BY r),
+al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM bf UNION SELECT f.r, tw.label FROM found f JOIN tw ON tw.t = f.t) GROUP BY r),
+sc AS (SELECT r, max(n / posted::DOUBLE) AS score FROM found GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN bd ON bd.r = d.r LEFT JOIN bl ON bl.r = d.r LEFT JOIN al ON al.r = d.r LEFT JOIN sc ON sc.r = d.r
+"""
