@@ -7,10 +7,11 @@ underscores, lower-cased) have a Jaccard similarity of 0.8 or more.
    band as the hashes allow for the target recall). Texts with equal sets form one class; only one text of a class goes on.
 2. Classes are shuffled on their band hashes, as 16-bit MinHash values. Within a bucket they are compared by these
    values; only pairs that agree on far fewer than the similarity demands are left out (six standard deviations).
-   A bucket hands over the edges of a spanning forest, never its pairs; one above `block` members is dealt into
-   blocks that meet pairwise.
-3. Connected classes are read again and verified on their full shingle sets, again in blocks of bounded size. A block pair
-   hands over each class's number of links and a spanning forest of verified links.
+   A bucket hands over the edges of a spanning forest, never its pairs; one above `bucket` members isn't compared but
+   joined to its first member as a whole, so the work on buckets is linear in their members (step 3 tells apart what has no links).
+3. Connected classes are read again and verified on their full shingle sets, in blocks of at most about `block` texts and
+   `block_shingles` shingles that meet pairwise. A block pair hands over each class's number of links and a spanning forest of
+   verified links.
 4. Verified links give each document its class id (the smallest fingerprint that it is connected to) and its number
    of links, copies included.
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 NGRAM, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 160
 _WORD = re.compile(r"\w+")
@@ -133,29 +134,11 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SIGNED)
 
 
-def blocked(members: DataFrame, block: int, by: str) -> DataFrame:
-    """members with own_x, own_i, own_j: a group of own_m members is dealt into blocks of about `block` by the hash of `by`, and they meet pairwise."""
-    dealt = members.withColumn("own_k", F.ceil(F.col("own_m") / block).cast("int")).withColumn("own_x", F.pmod(F.xxhash64(by), F.col("own_k")).cast("int"))
+def blocked(members: DataFrame, by: str) -> DataFrame:
+    """members with own_x, own_i, own_j: a group is dealt into own_k blocks by the hash of `by`, and they meet pairwise."""
+    dealt = members.withColumn("own_x", F.pmod(F.xxhash64(by), F.col("own_k")).cast("int"))
     cells = F.explode(F.expr("transform(sequence(0, own_k - 1), y -> struct(least(own_x, y) as i, greatest(own_x, y) as j))"))
-    return dealt.withColumn("own_cell", cells).withColumns({"own_i": F.col("own_cell.i"), "own_j": F.col("own_cell.j")}).drop("own_cell", "own_k", "own_m")
-
-
-def _forest(n: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a, b in pairs:
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
+    return dealt.withColumn("own_cell", cells).withColumns({"own_i": F.col("own_cell.i"), "own_j": F.col("own_cell.j")}).drop("own_cell", "own_k")
 
 
 def _grouped(batches, key: str):
@@ -182,38 +165,40 @@ def _grouped(batches, key: str):
         yield held
 
 
-EDGES = "a binary, b binary"
+EDGES = "a long, b long"
+
 
+def bucket_edges(representatives: DataFrame, rows_all: int, similarity: float, bucket: int) -> DataFrame:
+    """Spanning forests of the likely pairs in every bucket, as pairs of keys. representatives: key, small, n, bands.
 
-def bucket_edges(representatives: DataFrame, rows_all: int, similarity: float, block: int) -> DataFrame:
-    """Spanning forests of the likely pairs in every bucket."""
+    Two texts that share a key are one node here, which adds comparisons and loses none.
+    """
     least = math.floor(rows_all * similarity - 6 * math.sqrt(rows_all * similarity * (1 - similarity)))
-    # Only a short key goes with every band hash. Two texts that share a key join the same bucket, which adds comparisons and loses none.
-    short = F.expr("cast(conv(hex(substring(fp, 1, 7)), 16, 10) as bigint)")
-    banded = representatives.select(short.alias("key"), F.explode("bands").alias("hash"))
-    sizes = banded.groupBy("hash").agg(F.count("*").alias("own_m")).where("own_m > 1")
+    banded = representatives.select("key", F.explode("bands").alias("hash"))
+    sizes = cut(banded.groupBy("hash").agg(F.count("*").alias("own_m"), F.min("key").alias("own_first")).where("own_m > 1"))
     shared = banded.join(sizes, "hash")
-    cells = blocked(shared, block, "key").select("key", F.xxhash64("hash", "own_i", "own_j").alias("cell"))
-    cells = cells.join(representatives.select(short.alias("key"), "fp", "small", "n"), "key")
+    whole = shared.where(F.col("own_m") > bucket).select(F.col("own_first").alias("a"), F.col("key").alias("b")).where("a <> b")
+    cells = shared.where(F.col("own_m") <= bucket).select("key", F.col("hash").alias("cell")).join(representatives.select("key", "small", "n"), "key")
 
     def run(batches):
         for g in _grouped(batches, "cell"):
-            fp, n = g["fp"], np.array(g["n"])
-            small = np.frombuffer(b"".join(g["small"]), "<u2").reshape(len(fp), -1)
-            left, edges = np.arange(len(fp)), []
+            key, n = g["key"], np.array(g["n"])
+            small = np.frombuffer(b"".join(g["small"]), "<u2").reshape(len(key), -1)
+            left, edges = np.arange(len(key)), []
             while len(left) > 1:  # grow a component from the first that is left; compare each member with those not reached yet
                 queue, left = [left[0]], left[1:]
                 while queue and len(left):
                     x = queue.pop()
                     near = ((small[left] == small[x]).sum(axis=1) >= least) & (np.minimum(n[left], n[x]) >= similarity * np.maximum(n[left], n[x]))
-                    edges += [(fp[x], fp[y]) for y in left[near]]
+                    edges += [(key[x], key[y]) for y in left[near]]
                     queue += left[near].tolist()
                     left = left[~near]
             if edges:
                 a, b = zip(*edges)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return cells.repartition("cell").sortWithinPartitions("cell").select("fp", "small", "n", "cell").mapInArrow(run, EDGES).distinct()
+    compared = cells.repartition("cell").sortWithinPartitions("cell").select("key", "small", "n", "cell").mapInArrow(run, EDGES)
+    return compared.unionByName(whole).distinct()
 
 
 def components(edges: DataFrame, *, steps: int = 50) -> DataFrame:
@@ -292,22 +277,23 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp binary, shingles binary")
 
 
-def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = 2048, broadcast_rows: int = 300_000) -> DataFrame:
+def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES, bucket: int = 2048, block: int = 512, block_shingles: int = 4_000_000, broadcast_rows: int = 300_000) -> DataFrame:
     """signed documents (doc_id, text_key, fp, n) with class (fp of the class, null without links) and links to other texts and copies."""
     bands, rows = choose_bands(similarity, recall, max_hashes)
     signed = cut(sign(docs, bands, rows))
     classes = signed.where("fp is not null").groupBy("fp").agg(F.min(F.struct("text_key", "doc_id", "n", "small", "bands")).alias("own"), F.count("*").alias("copies"))
-    representatives = cut(classes.select("fp", "copies", "own.*"))
-    likely = components(bucket_edges(representatives, bands * rows, similarity, block))
-    groups = cut(likely.withColumnsRenamed({"node": "fp", "root": "own_root"}).join(representatives.select("fp", "copies", "text_key", "doc_id"), "fp"))
-    wanted = groups.select("text_key", F.col("doc_id").alias("own_id"))
+    short = F.expr("cast(conv(hex(substring(fp, 1, 7)), 16, 10) as bigint)")
+    representatives = cut(classes.select("fp", short.alias("key"), "copies", "own.*"))
+    likely = components(bucket_edges(representatives, bands * rows, similarity, bucket))
+    groups = cut(likely.withColumnsRenamed({"node": "key", "root": "own_root"}).join(representatives.select("key", "fp", "copies", "text_key", "doc_id", "n"), "key"))
+    wanted = groups.select(F.col("text_key").alias("own_key"), F.col("doc_id").alias("own_id"))
     few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
     keyed = docs.select("text", F.xxhash64("text").alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"))
-    wanted = F.broadcast(wanted.withColumnRenamed("text_key", "own_key")) if few else wanted.withColumnRenamed("text_key", "own_key")
-    read = keyed.join(wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
+    read = keyed.join(F.broadcast(wanted) if few else wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
     sets = _shingle_sets(read)
-    sizes = groups.groupBy("own_root").agg(F.count("*").alias("own_m"))
-    dealt = blocked(groups.select("fp", "copies", "own_root").join(sizes, "own_root"), block, "fp")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_shingles)).cast("int")
+    sizes = groups.groupBy("own_root").agg(blocks.alias("own_k"))
+    dealt = blocked(groups.select("fp", "copies", "own_root").join(sizes, "own_root"), "fp")
     cells = dealt.select("fp", "copies", F.col("own_x").alias("x"), F.col("own_i").alias("i"), F.col("own_j").alias("j"), F.xxhash64("own_root", "own_i", "own_j").alias("cell"))
     verified = cut(verify(cells.join(sets.dropDuplicates(["fp"]), "fp"), similarity))
     found = components(verified.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")))
@@ -315,14 +301,33 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = REC
     copies = representatives.select("fp", "copies")
     per_class = copies.where("copies > 1").join(links, "fp", "full_outer").join(found.withColumnRenamed("node", "fp"), "fp", "left")
     per_class = cut(per_class.select(F.col("fp").alias("own_fp"), F.coalesce("root", "fp").alias("class"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("links")))
-    return signed.select("doc_id", "text_key", "fp", "n").join(per_class, F.col("fp") == F.col("own_fp"), "left").drop("own_fp")
+    few = per_class.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return signed.select("doc_id", "text_key", "fp", "n").join(F.broadcast(per_class) if few else per_class, F.col("fp") == F.col("own_fp"), "left").drop("own_fp")
+
+
+#: DuckDB's rows of report(), pair by pair; its \w is narrower than Python's, hence the class.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(greatest(1, len(ws) - 4)), lambda k: array_to_string(ws[k + 1 : k + 5], ' ')) END) AS x FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+k AS (SELECT a AS r, min(doc_id) AS least FROM reach JOIN d ON d.r = reach.b GROUP BY a),
+m AS (SELECT a AS r, count(*) AS n FROM e GROUP BY a)
+SELECT doc_id, coalesce(least(k.least, doc_id), doc_id) AS class_id, coalesce(m.n, 0)::BIGINT AS n_links FROM d LEFT JOIN k ON k.r = d.r LEFT JOIN m ON m.r = d.r
+"""
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, class_id (smallest doc_id of the class), n_links (other documents at 0.8 or more)."""
     joined = join(docs, **options)
     least = joined.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    named = joined.join(least.withColumnRenamed("class", "own_class"), F.col("class") == F.col("own_class"), "left")
+    least = least.withColumnRenamed("class", "own_class")
+    broadcast_rows = options.get("broadcast_rows", 300_000)
+    few = least.limit(broadcast_rows + 1).count() <= broadcast_rows
+    named = joined.join(F.broadcast(least) if few else least, F.col("class") == F.col("own_class"), "left")
     return named.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -334,9 +339,11 @@ def drop_near_duplicates(docs: DataFrame, *, broadcast_rows: int = 300_000, **op
     marked = joined.groupBy("doc_id", "text_key").agg(F.count("*").alias("own_c")).join(keep.withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"}), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
     marked = cut(marked.select(F.col("doc_id").alias("own_doc"), F.col("text_key").alias("own_text"), "own_c", F.col("own_key").isNotNull().alias("own_keep")))
     few = marked.limit(broadcast_rows + 1).count() <= broadcast_rows
-    keyed = docs.withColumn("own_key", F.xxhash64("text"))
-    tagged = keyed.join(F.broadcast(marked) if few else marked, (F.col("own_key") == F.col("own_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("own_doc")), "left")
-    once = tagged.where("own_text is null or (own_keep and own_c = 1)").select(*docs.columns)
-    if not marked.where("own_keep and own_c > 1").limit(1).count():
+    key, doc, text, n, keep = fresh(docs.columns, "own_key", "own_doc", "own_text", "own_c", "own_keep")
+    marked = marked.toDF(doc, text, n, keep)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    tagged = keyed.join(F.broadcast(marked) if few else marked, (F.col(key) == F.col(text)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
+    once = tagged.where(F.col(text).isNull() | (F.col(keep) & (F.col(n) == 1))).select(*docs.columns)
+    if not marked.where(F.col(keep) & (F.col(n) > 1)).limit(1).count():
         return once
-    return once.unionByName(tagged.where("own_keep and own_c > 1").dropDuplicates(["own_key", "own_doc"]).select(*docs.columns))
+    return once.unionByName(tagged.where(F.col(keep) & (F.col(n) > 1)).dropDuplicates([key, doc]).select(*docs.columns))

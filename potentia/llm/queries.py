@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_one_bit_codes": ann.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_rare_token_licenses": licenses.oracle()}
+    return {"op2_one_bit_codes": ann.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_rare_token_licenses": licenses.oracle()}
