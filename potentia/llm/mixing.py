@@ -1,19 +1,22 @@
-"""Op 9: mixing sources to target weights by Pfair scheduling, in DataFrame operations and a loop over blocks.
+"""Op 9: mixing sources to target weights by Pfair scheduling, in DataFrame operations and a bounded loop over blocks.
 
-A source's documents are dealt into blocks of `block_docs`. With weight w (a share of all slots, one slot
+A source's documents are dealt into blocks of `block_docs` (more where there would be over `most_blocks` blocks else: a block
+is then that fraction of the corpus). With weight w (a share of all slots, one slot
 a block) block i of a source, from 0, is released at slot floor(i / w) and is due before slot
 ceil((i + 1) / w); among the released blocks the one due first gets the slot. So at any slot each source
 has had its share to within less than a block, as long as it has blocks left.
 
 Weights are whole parts of `cycle_slots`, 2^32 by default, so what rounding them moves stays below one block for
-some 2^32 slots. The driver deals the slots in a loop with a step a block, from one row a source; the blocks' slots
-(a row for `block_docs` documents) are then joined, by broadcast up to `broadcast_rows` blocks. Positions
+some 2^32 slots, which no schedule reaches. The driver deals the slots from one row a source, in a loop with a step a block, so at
+most `most_blocks` and one a source, whatever the corpus; the slots go back as one row a source and are joined with the documents,
+by broadcast up to `broadcast_rows` blocks. Positions
 within a source come from counts of hash buckets and their running sums, so a source that holds a third
 of all rows is spread over as many tasks as any. When a source has run out, other blocks that are released
 may have its slots, and where there is none they stay vacant. No row is dropped or repeated.
 
 Defined cases: a null source is a source; rows with equal columns, doc_id included, follow one another in
-any order; an empty table gives no rows; texts may be null. Target weights default to each source's row
+any order; an empty table gives no rows; texts may be null; other columns, whatever their names and types, are only carried, but for
+those that `schedule` adds, which give way to its own. Target weights default to each source's row
 count to the power `alpha`, over all rows; others can be given, and a source without one is refused.
 """
 
@@ -23,12 +26,14 @@ import math
 from array import array
 from heapq import heappop, heappush
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import fresh
+
+ADDED = ("mix_block", "mix_slot", "mix_place", "mix_release", "mix_deadline")
+
 
 def shares(docs: DataFrame, *, alpha: float = 0.7, cycle_slots: int = 2**32, weights: dict[str | None, float] | None = None) -> DataFrame:
     """For each source its weight in parts of cycle_slots: own_source (the source in JSON, so that null is a value), share, rows."""
@@ -49,8 +54,8 @@ def shares(docs: DataFrame, *, alpha: float = 0.7, cycle_slots: int = 2**32, wei
 
 
 def deal(shares: list[tuple[int, int]]) -> list[array]:
-    """For each block its source (by place in shares), number, slot, release and deadline. shares: (share, blocks) of each source."""
-    length, out = sum(x for x, _ in shares), [array("q") for _ in range(5)]
+    """The slots of each source's blocks, in their order. shares: (share, blocks) of each source."""
+    length, out = sum(x for x, _ in shares), [array("q") for _ in shares]
     waiting, ready = [(0, i, 0) for i, (_, n) in enumerate(shares) if n], []  # (release or deadline, source, block)
     slot = 0
     while waiting or ready:
@@ -59,34 +64,48 @@ def deal(shares: list[tuple[int, int]]) -> list[array]:
         while waiting and waiting[0][0] <= slot:
             _, i, k = heappop(waiting)
             heappush(ready, (-(-(k + 1) * length // shares[i][0]), i, k))
-        due, i, k = heappop(ready)
-        for column, x in zip(out, (i, k, slot, k * length // shares[i][0], due)):
-            column.append(x)
+        _, i, k = heappop(ready)
+        out[i].append(slot)
         if k + 1 < shares[i][1]:
             heappush(waiting, ((k + 1) * length // shares[i][0], i, k + 1))
         slot += 1
     return out
 
 
-def schedule(docs: DataFrame, *, block_docs: int = 32, bucket_rows: int = 2048, broadcast_rows: int = 200_000, **targets) -> DataFrame:
+def _hash(docs: DataFrame) -> Column:
+    """Hash of all columns; those that hold maps or variants, which can't be hashed, as JSON."""
+    plain = lambda f: not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    column = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    return F.xxhash64(*[column(f) if plain(f) else F.to_json(F.struct(column(f))) for f in docs.schema])
+
+
+def schedule(docs: DataFrame, *, block_docs: int = 32, most_blocks: int = 1 << 18, bucket_rows: int = 256, broadcast_rows: int = 1 << 19, **targets) -> DataFrame:
     """All rows and columns of docs, with mix_block, mix_slot, mix_place, mix_release and mix_deadline; sort by mix_slot, mix_place."""
-    columns = docs.columns
-    sources = shares(docs, **targets).orderBy("own_source").collect()
-    buckets = max(1, math.ceil(sum(r.rows for r in sources) / bucket_rows))
-    keyed = docs.withColumns({"own_source": F.to_json(F.struct("source")), "own_hash": F.xxhash64(*columns)}).withColumn("own_bucket", F.pmod("own_hash", F.lit(buckets)))
-    in_source = Window.partitionBy("own_source").orderBy("own_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("own_source", "own_bucket").agg(F.count("*").alias("own_c")).select("own_source", "own_bucket", F.coalesce(F.sum("own_c").over(in_source), F.lit(0)).alias("own_start"))
-    in_bucket = Window.partitionBy("own_source", "own_bucket").orderBy("own_hash")
-    numbered = keyed.withColumn("own_k", F.row_number().over(in_bucket)).join(starts, ["own_source", "own_bucket"])
-    placed = numbered.withColumn("own_n", F.col("own_start") + F.col("own_k") - 1)
-    placed = placed.withColumns({"mix_block": F.expr(f"own_n div {block_docs}"), "mix_place": F.col("own_n") % block_docs})
-    source, *dealt = (pa.array(np.frombuffer(x, np.int64)) for x in deal([(r.share, -(-r.rows // block_docs)) for r in sources]))
-    own_source = pa.array([r.own_source for r in sources], pa.string()).take(source)
-    plan = docs.sparkSession.createDataFrame(pa.table([own_source, *dealt], ["own_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"]))
-    found = placed.join(F.broadcast(plan) if len(source) <= broadcast_rows else plan, ["own_source", "mix_block"])
-    return found.select(*columns, "mix_block", "mix_slot", "mix_place", "mix_release", "mix_deadline")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    source, hashed, bucket, n, count, start, share = fresh([*docs.columns, *ADDED], "own_source", "own_hash", "own_bucket", "own_n", "own_c", "own_start", "own_share")
+    sources = shares(docs, **targets).orderBy("own_source").collect()  # one row a source
+    block_docs = max(block_docs, math.ceil(sum(r.rows for r in sources) / most_blocks))
+    buckets = max(1, math.ceil(max((r.rows for r in sources), default=0) / bucket_rows))
+    keyed = docs.withColumns({source: F.to_json(F.struct("source")), hashed: _hash(docs)}).withColumn(bucket, F.pmod(hashed, F.lit(buckets)))
+    in_source = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy(source, bucket).agg(F.count("*").alias(count)).select(source, bucket, F.coalesce(F.sum(count).over(in_source), F.lit(0)).alias(start))
+    in_bucket = Window.partitionBy(source, bucket).orderBy(hashed)
+    numbered = keyed.withColumn(n, F.row_number().over(in_bucket) - 1).join(starts, [source, bucket]).withColumn(n, F.col(start) + F.col(n))
+    placed = numbered.withColumns({"mix_block": F.expr(f"{n} div {block_docs}"), "mix_place": F.col(n) % block_docs})
+    blocks = [-(-r.rows // block_docs) for r in sources]
+    length = sum(r.share for r in sources)
+    dealt = [(r.own_source, r.share, own.tolist()) for r, own in zip(sources, deal([(r.share, k) for r, k in zip(sources, blocks)]))]
+    plan = docs.sparkSession.createDataFrame(dealt, f"{source} string, {share} long, slots array<long>", verifySchema=False)
+    plan = plan.select(source, share, F.posexplode("slots").alias("mix_block", "mix_slot")).withColumn("mix_block", F.col("mix_block").cast("long"))
+    found = placed.join(F.broadcast(plan) if sum(blocks) <= broadcast_rows else plan, [source, "mix_block"])
+    release = F.expr(f"mix_block * {length} div {share}")
+    due = F.expr(f"((mix_block + 1) * {length} + {share} - 1) div {share}")
+    return found.select(*docs.columns, "mix_block", "mix_slot", "mix_place", release.alias("mix_release"), due.alias("mix_deadline"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs in the schedule's order, split into ranges of slots."""
-    return schedule(docs, **options).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
+    kept = dict(zip(ADDED, fresh(docs.columns, *(f"own_{c}" for c in ADDED))))
+    back = {kept[c.lower()]: c for c in docs.columns if c.lower() in kept}
+    planned = schedule(docs.withColumnsRenamed({c: k for k, c in back.items()}), **options).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").drop(*ADDED)
+    return planned.withColumnsRenamed(back).select(*docs.columns)

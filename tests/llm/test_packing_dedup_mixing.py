@@ -209,7 +209,9 @@ def test_mixing_keeps_to_unrounded_weights(spark):
 
 def test_mixing_deals_a_large_source_among_many_small_ones():
     shares = [(int(0.045 * 2**32), 15_000)] + [(int(0.955 / 5000 * 2**32), 2)] * 5000
-    source, _, slot, release, due = mixing.deal(shares)
-    assert len(slot) == len(set(slot)) == 25_000 and all(r <= t < d for r, t, d in zip(release, slot, due))
-    first = sorted(zip(slot, source))[:10_000]
+    slots = mixing.deal(shares)
+    length = sum(w for w, _ in shares)
+    assert len({t for own in slots for t in own}) == sum(map(len, slots)) == 25_000
+    assert all(k * length // w <= t < -(-(k + 1) * length // w) for (w, _), own in zip(shares, slots) for k, t in enumerate(own))
+    first = sorted((t, i) for i, own in enumerate(slots) for t in own)[:10_000]
     assert abs(sum(not i for _, i in first) - 450) <= 1
