@@ -277,7 +277,7 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp binary, shingles binary")
 
 
-def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES, bucket: int = 2048, block: int = 512, block_shingles: int = 4_000_000, broadcast_rows: int = 300_000) -> DataFrame:
+def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES, bucket: int = 256, block: int = 512, block_shingles: int = 4_000_000, broadcast_rows: int = 300_000) -> DataFrame:
     """signed documents (doc_id, text_key, fp, n) with class (fp of the class, null without links) and links to other texts and copies."""
     bands, rows = choose_bands(similarity, recall, max_hashes)
     signed = cut(sign(docs, bands, rows))
