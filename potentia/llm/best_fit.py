@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, eo
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["own_file", "own_row"] if ordered else [])).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, eos: int = 0, group_pieces: int = 16_384, nodes: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, eos: int = 0, group_pieces: int = 16_384, nodes: int = 50_000) -> DataFrame:
     """Where each piece lies: sequence_id (unique, else any number) and offset, gapless from 0."""
     once = cut(pieces(docs, path=path, capacity=capacity, eos=eos))
     files = once.groupBy("own_file").agg(F.count("*").alias("own_c"))
