@@ -49,13 +49,23 @@ def token_pieces(batches, path: str, capacity: int, eos: int) -> Iterator[tuple[
                 yield doc_id, piece, start, ids[start : start + n]
 
 
-def pack(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, eos: int = 0, pad: int = 0, id_bytes: int = 2, window_tokens: int = 4_000_000, least_fill: float = 1 - 1 / 128) -> DataFrame:
+def width_of_ids(path: str, eos: int, pad: int, id_bytes: int | None = None) -> int:
+    """Bytes an id: 2 where every id fits, else 4; a narrower choice is refused."""
+    largest = max(encoder(path).largest_id(), eos, pad)
+    needed = 2 if largest < 1 << 16 else 4
+    if min(eos, pad) < 0 or largest >= 1 << 32 or (id_bytes or 4) < needed:
+        raise ValueError(f"ids up to {largest} don't fit in {id_bytes or 4} bytes")
+    return id_bytes or needed
+
+
+def pack(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, eos: int = 0, pad: int = 0, id_bytes: int | None = None, window_tokens: int = 4_000_000, least_fill: float = 1 - 1 / 128) -> DataFrame:
     """Pack documents (doc_id, text) into lines of `capacity` ids; see the module's text.
 
-    window_tokens bounds what a task or a group holds at a time; rows filled to least_fill are final
+    id_bytes is 2 or 4, by default as the vocabulary needs. window_tokens bounds what a task or a group holds at a time; rows filled to least_fill are final
     in the first round.
     """
     path = path or vocabulary()
+    id_bytes = width_of_ids(path, eos, pad, id_bytes)
     kind = {2: "<u2", 4: "<u4"}[id_bytes]
 
     def rows(items: list, task: int, count: int, last: bool) -> tuple[list[tuple], int]:

@@ -21,6 +21,9 @@ class Encoder:
         self.fast = _same_ranks(self.slow)
         self.special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
 
+    def largest_id(self) -> int:
+        return max(self.slow.get_vocab(with_added_tokens=True).values(), default=0)
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")

@@ -140,6 +140,29 @@ def test_classifier_on_held_out_rows(spark, labelled):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def plain_statistics(t):
+    """The statistics of one text, by Python's own means (ASCII texts)."""
+    t = t or ""
+    n, w, l = max(len(t), 1), re.split(r"[ \t\n\x0b\f\r]+", t), t.split("\n")  # noqa: E741
+    count = lambda p: len(re.findall(p, t))
+    return [len(t), count("[A-Z]") / n, count(r"[^A-Za-z0-9\s]") / n, count("[0-9]") / n, count("[!?]") / n, count("[|]") / n, count("[#$%&*<>=_~^@]") / n, len(re.findall(r"[.!?](?=\s|$)", t)) / len(w),
+            n / len(w), len(set(w)) / len(w), n / len(l), len(set(l)) / len(l), sum(x[-1:] in (".", "!", "?") and x != "" for x in l) / len(l)]
+
+
+def test_statistics_and_score_against_a_plain_version(spark, labelled):
+    docs, labels = labelled
+    odd = ["a\nb.\nb.\n", "WORD word! 12 | # $", "...", "  two  spaces ", "x\n\n\ny?"]
+    docs = docs.unionByName(spark.createDataFrame([(9000 + k, t, "a", 1) for k, t in enumerate(odd)], docs.schema))
+    model = quality.fit(docs, labels)
+    got = quality.statistics(docs).select("text", "own_s", model.score().alias("p")).collect()
+    for r in got:
+        want = plain_statistics(r.text)
+        assert list(r.own_s) == pytest.approx(want, rel=1e-12), r.text
+        total = model.intercept + sum(w for w, rule in model.rules if all((want[j] <= t) == below for j, below, t in rule))
+        assert r.p == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+    assert model.rules
+
+
 def test_classifier_does_not_learn_from_held_out_rows(spark, labelled):
     docs, labels = labelled
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))

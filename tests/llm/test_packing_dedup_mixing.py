@@ -51,15 +51,28 @@ def test_bins_against_exhaustive_search():
         return best
 
     rng = random.Random(3)
-    for _ in range(60):
-        lengths = sorted((rng.randint(1, 20) for _ in range(9)), reverse=True)
-        best = fewest(lengths, 20)
-        assert bins.lower_bound(lengths, 20) <= best
-        for how in (bins.best_fit_decreasing, bins.bin_completion):
-            found = how(lengths, 20)
-            assert sorted(i for b in found for i in b) == list(range(9))
-            assert all(sum(lengths[i] for i in b) <= 20 for b in found)
-        assert len(bins.bin_completion(lengths, 20)) == best
+    for count, capacity, times in ((9, 20, 60), (12, 100, 40), (13, 200, 20), (15, 50, 10)):
+        for _ in range(times):
+            lengths = sorted((rng.randint(1, capacity * 3 // 4) for _ in range(count)), reverse=True)
+            best = fewest(lengths, capacity)
+            assert bins.lower_bound(lengths, capacity) <= best
+            for how in (bins.best_fit_decreasing, bins.bin_completion):
+                found = how(lengths, capacity)
+                assert sorted(i for b in found for i in b) == list(range(count))
+                assert all(sum(lengths[i] for i in b) <= capacity for b in found)
+            assert len(bins.bin_completion(lengths, capacity)) == best
+
+
+@pytest.mark.parametrize("count,pieces,times", [(3, (3, 4), 700), (3, (5, 6), 500), (30, (4,), 15), (30, (5,), 10), (30, (8,), 10), (300, (4,), 2)])
+def test_bins_that_are_full(count, pieces, times):
+    rng = random.Random(1)
+    for _ in range(times):
+        lengths = []
+        for _ in range(count):
+            cuts = sorted(rng.sample(range(1, 2048), rng.choice(pieces) - 1))
+            lengths += [b - a for a, b in zip([0, *cuts], [*cuts, 2048])]
+        rng.shuffle(lengths)
+        assert len(bins.bin_completion(lengths, 2048)) == count
 
 
 @pytest.mark.parametrize("pieces", range(5, 11))
@@ -108,6 +121,24 @@ def test_packing_is_an_exact_round_trip(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_fills_like_best_fit_of_everything(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(rng.randint(1, 150)))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    lengths = [n for _, t in rows for _, n in tokens.cut_pieces(len(reference_ids(t)), 128)]
+    assert packing.pack(docs, capacity=128, least_fill=1.0).count() <= len(bins.best_fit_decreasing(lengths, 128)) * 1.01 + 1
+    assert packing.pack(docs.repartition(4), capacity=128, window_tokens=4000).count() <= len(bins.best_fit_decreasing(lengths, 128)) * 1.03 + 1
+
+
+def test_ids_that_do_not_fit_are_refused(odd, monkeypatch):
+    assert packing.width_of_ids(tokens.vocabulary(), 0, 0) == 2
+    with pytest.raises(ValueError):
+        packing.pack(odd, eos=70_000, id_bytes=2)
+    wide = packing.pack(odd, capacity=64, eos=70_000)
+    assert all(len(r.ids) == 256 for r in wide.collect())
+    assert any(70_000 in np.frombuffer(r.ids, "<u4") for r in packing.unpack(wide, id_bytes=4).collect())
+
+
 def test_best_fit_pieces(odd, none):
     rows = best_fit.pack(odd, capacity=64).collect()
     texts = defaultdict(list)
