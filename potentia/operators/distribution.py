@@ -54,16 +54,49 @@ def at_temperature(cands: DataFrame, temperatures, key: str = "uid") -> DataFram
     return rows.withColumn("p_t", p).drop("own_w", "own_r")
 
 
+def running_counts(df: DataFrame, column: str, by: str, ranges: int = 64) -> DataFrame:
+    """Distinct values of each group with own_c (rows), own_upto (rows up to and with it) and own_n (rows of the group); nulls are left out.
+
+    Values are dealt into ranges at fixed quantiles (at most `ranges` numbers that the driver reads), counted by range, and
+    each range gets the count of those before it: no task holds a group, whatever its size.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("own_c"))
+    marks = counts.agg(F.percentile_approx(column, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(1000))).first()[0] or []
+    at = F.lit(0)
+    for mark in sorted(set(marks)):
+        at = at + (F.col(column) > mark).cast("int")
+    ranged = counts.withColumn("own_r", at)
+    sums = ranged.groupBy(F.col(by).alias("own_by"), F.col("own_r").alias("own_at")).agg(F.sum("own_c").alias("own_s"))  # a row a group and range
+    w = Window.partitionBy("own_by")
+    before = F.coalesce(F.sum("own_s").over(w.orderBy("own_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("own_by", "own_at", before.alias("own_b"), F.sum("own_s").over(w).alias("own_n"))
+    local = ranged.withColumn("own_k", F.sum("own_c").over(Window.partitionBy(by, "own_r").orderBy(column)))
+    joined = local.join(starts, F.col(by).eqNullSafe(F.col("own_by")) & (F.col("own_r") == F.col("own_at")))
+    return joined.select(by, column, "own_c", (F.col("own_b") + F.col("own_k")).alias("own_upto"), "own_n")
+
+
+def quantiles(df: DataFrame, column: str, by: str, points) -> DataFrame:
+    """Exact percentiles of each group, linear between values: columns p<percent>."""
+    def value(place: Column) -> Column:
+        return F.max(F.when((F.col("own_upto") > place) & (F.col("own_upto") - F.col("own_c") <= place), F.col(column)))
+
+    own = []
+    for p in points:
+        at = F.col("own_n") - 1
+        place = F.lit(float(p)) * at
+        low, high, part = value(F.floor(place)), value(F.ceil(place)), F.max(place - F.floor(place))
+        own.append(F.when(part == 0, low).otherwise(low * (1 - part) + high * part).alias(f"p{round(100 * p)}"))
+    return running_counts(df, column, by).groupBy(by).agg(*own)
+
+
 def percentiles(df: DataFrame, column: str, by: str, points) -> DataFrame:
     """DST8 and AGG29: exact percentiles, linear between values, for each group and for all of them together."""
-    return df.rollup(by).agg(F.percentile(column, F.array(*[F.lit(p) for p in points])).alias("own")).select(F.coalesce(by, F.lit("combined")).alias(by), *[F.col("own")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+    return quantiles(df, column, by, points).unionByName(quantiles(df.withColumn(by, F.lit("combined")), column, by, points))
 
 
 def ecdf(df: DataFrame, column: str, by: str) -> DataFrame:
     """DST9: steps of the empirical distribution: each distinct value with the share of rows up to it."""
-    counts = df.groupBy(by, column).agg(F.count("*").alias("own_c"))
-    w = Window.partitionBy(by)
-    return counts.select(by, column, (F.sum("own_c").over(w.orderBy(column)) / F.sum("own_c").over(w)).alias("share"))
+    return running_counts(df, column, by).select(by, column, (F.col("own_upto") / F.col("own_n")).alias("share"))
 
 
 def kde(df: DataFrame, column: str, by: str, points: int = 400) -> DataFrame:
@@ -71,7 +104,7 @@ def kde(df: DataFrame, column: str, by: str, points: int = 400) -> DataFrame:
     stats = df.groupBy(by).agg(F.count(column).alias("own_n"), F.stddev_samp(column).alias("own_s"), F.min(column).alias("own_lo"), F.max(column).alias("own_hi")).where("own_n >= 2 and own_s >= 1e-8")
     stats = stats.withColumn("own_h", F.col("own_s") * F.pow(F.col("own_n").cast("double"), F.lit(-0.2)))
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.cast("long").alias("i"), (F.col("own_lo") + (F.col("own_hi") - F.col("own_lo")) * i / (points - 1)).alias("x")))
-    each = df.select(by, F.col(column).alias("own_v")).join(F.broadcast(stats), by).select(by, "own_n", "own_h", "own_v", F.explode(grid).alias("g"))
+    each = df.select(by, F.col(column).alias("own_v")).join(stats, by).select(by, "own_n", "own_h", "own_v", F.explode(grid).alias("g"))
     kernel = F.exp(-F.pow((F.col("g.x") - F.col("own_v")) / F.col("own_h"), 2) / 2) / (F.col("own_n") * F.col("own_h") * SQRT_2PI)
     return each.groupBy(by, F.col("g.i").alias("i")).agg(F.first("g.x").alias("x"), F.sum(kernel).alias("density"))
 
@@ -85,11 +118,11 @@ def histogram(df: DataFrame, column: str, bins: int, low: float = 0.0, high: flo
 
 def box_stats(df: DataFrame, column: str, *by: str) -> DataFrame:
     """DST13: n, mean, quartiles, whiskers (the farthest values within 1.5 interquartile ranges) and the number beyond them."""
-    q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("own"))
-    q = q.select(*by, F.col("own")[0].alias("q25"), F.col("own")[1].alias("median"), F.col("own")[2].alias("q75"))
+    keyed = df.withColumn("own_key", F.struct(*by))
+    q = quantiles(keyed, column, "own_key", (0.25, 0.5, 0.75)).select("own_key.*", F.col("p25").alias("q25"), F.col("p50").alias("median"), F.col("p75").alias("q75"))
     x, reach = F.col(column), 1.5 * (F.col("q75") - F.col("q25"))
     inside = (x >= F.col("q25") - reach) & (x <= F.col("q75") + reach)
-    return df.join(F.broadcast(q), list(by)).groupBy(*by, "q25", "median", "q75").agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(F.when(inside, x)).alias("low"), F.max(F.when(inside, x)).alias("high"), F.count_if(~inside).alias("outside"))
+    return df.join(q, list(by)).groupBy(*by, "q25", "median", "q75").agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(F.when(inside, x)).alias("low"), F.max(F.when(inside, x)).alias("high"), F.count_if(~inside).alias("outside"))
 
 
 def boundary_drop(p: Column, n: int = 64, least_drop: float = 0.1, z: float = 1.645) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from heapq import heapreplace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -55,17 +59,25 @@ def split(df: DataFrame, key: str, share: float, seed: int = 42, least: int = 10
     return df.withColumn("is_eval", (point < share) if many else F.lit(False))
 
 
-def balanced_shards(groups: DataFrame, key: str, weight: str, shards: int) -> DataFrame:
-    """SMP6 and SMP7: heaviest first to the least loaded shard, ties to the one with fewer rows, then the first.
+def balanced_shards(groups: DataFrame, key: str, weight: str, shards: int, *, even_counts: bool = True) -> DataFrame:
+    """SMP6 and SMP7: heaviest first to the least loaded shard, ties to the one with fewer rows (with even_counts), then the first.
 
-    A fold over one array of (weight, key) in one row: meant for work units (files, paths of a run), whose number is small;
-    data that is large is dealt by repartition() and adaptive execution instead.
+    Each choice depends on all before it, so the rows pass through one task in order; it holds the shards' loads, not the rows.
+    Meant for work units (files, paths of a run); data that is large is dealt by repartition() and adaptive execution instead.
     """
-    rows = groups.agg(F.sort_array(F.collect_list(F.struct((-F.col(weight)).alias("w"), F.col(key).alias("k")))).alias("own"))
-    pick = "array_min(transform(s.load, (x, i) -> struct(x as x, s.n[i] as n, i as i))).i"
-    fold = F.expr(f"""aggregate(own, named_struct('load', array_repeat(0L, {shards}), 'n', array_repeat(0, {shards}), 'out', cast(array() as array<int>)), (s, x) ->
-        transform(array({pick}), p -> named_struct('load', transform(s.load, (v, i) -> if(i = p, v - x.w, v)), 'n', transform(s.n, (v, i) -> if(i = p, v + 1, v)), 'out', concat(s.out, array(p))))[0], s -> s.out)""")
-    return rows.select(F.explode(F.arrays_zip(F.col("own"), fold.alias("s"))).alias("z")).select(F.col("z.own.k").alias(key), (-F.col("z.own.w")).alias(weight), F.col("z.s").alias("shard"))
+    rows = groups.select(key, F.col(weight).cast("long").alias(weight)).repartition(1).sortWithinPartitions(F.desc(weight), key)
+
+    def run(batches):
+        heap = [(0, 0, i) for i in range(shards)]
+        for batch in batches:
+            out = []
+            for w in batch.column(1).to_pylist():
+                load, n, i = heap[0]
+                heapreplace(heap, (load + (w or 0), n + even_counts, i))
+                out.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[key, weight, "shard"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("shard", IntegerType())]))
 
 
 def numbered(df: DataFrame, *order: str, buckets: int = 64) -> DataFrame:

@@ -6,8 +6,10 @@ path identifiers: a path is bounded by the model's context, so a window never ho
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import potential as P
@@ -145,10 +147,21 @@ def context(tokens: DataFrame, reach: int = 10, key: str = "path_id") -> DataFra
 def batches(costs: DataFrame, budget: int, group: str, order: str, cost: str) -> DataFrame:
     """SEQ21: greedy batches in order within a group: a row that would overflow the budget begins a batch; one above the budget is alone.
 
-    A fold over the group's rows in one array; groups are bounded (a path, a shard).
+    Each batch depends on the one before, so a group passes through one task in order, which holds the running sum and no rows. A null cost counts as 0.
     """
-    rows = costs.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("own"))
-    fold = F.expr(f"""aggregate(own, named_struct('used', 0L, 'b', 0L, 'out', cast(array() as array<bigint>)), (s, x) ->
-        if(s.used > 0 and s.used + x.c > {budget}, named_struct('used', x.c, 'b', s.b + 1, 'out', concat(s.out, array(s.b + 1))),
-           named_struct('used', s.used + x.c, 'b', s.b, 'out', concat(s.out, array(s.b)))), s -> s.out)""")
-    return rows.select(group, F.explode(F.arrays_zip(F.col("own"), fold.alias("b"))).alias("x")).select(group, F.col("x.own.o").alias(order), F.col("x.own.c").alias(cost), F.col("x.b").alias("batch"))
+    rows = costs.select(group, order, F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias(cost)).repartition(group).sortWithinPartitions(group, order, cost)
+
+    def run(parts):
+        begun, own, used, batch = False, None, 0, 0
+        for part in parts:
+            out = []
+            for g, c in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                if not begun or g != own:
+                    begun, own, used, batch = True, g, 0, 0
+                elif used > 0 and used + c > budget:
+                    used, batch = 0, batch + 1
+                used += c
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], names=[group, order, cost, "batch"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("batch", LongType())]))

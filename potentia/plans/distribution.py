@@ -145,8 +145,8 @@ def j6(spark, d):
 @query("AGG37", f"""WITH {CPM} SELECT coalesce(dataset, 'all') AS dataset, kind, count(*) AS n, round(avg(cpm_eval-cpm_source), 9) AS mean_delta, round(quantile_cont(cpm_eval-cpm_source, 0.5), 9) AS median_delta FROM cpm GROUP BY GROUPING SETS ((dataset, kind), (kind))""")
 def agg37(spark, d):
     c = _cpm(spark, d).withColumn("delta", F.col("cpm_eval") - F.col("cpm_source"))
-    c.createOrReplaceTempView("own_cpm")
-    return spark.sql("SELECT coalesce(dataset, 'all') AS dataset, kind, count(*) AS n, round(avg(delta), 9) AS mean_delta, round(percentile(delta, 0.5), 9) AS median_delta FROM own_cpm GROUP BY GROUPING SETS ((dataset, kind), (kind))")
+    both = c.groupingSets([[F.col("dataset"), F.col("kind")], [F.col("kind")]], "dataset", "kind").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 9).alias("mean_delta"), F.round(F.percentile("delta", F.lit(0.5)), 9).alias("median_delta"))
+    return both.select(F.coalesce("dataset", F.lit("all")).alias("dataset"), "kind", "n", "mean_delta", "median_delta")
 
 
 @query("DST14", f"WITH {CPM} SELECT kind, round(avg(cpm_eval-cpm_source), 9) AS mean, round(quantile_cont(cpm_eval-cpm_source, 0.5), 9) AS median, round(quantile_cont(cpm_eval-cpm_source, 0.25), 9) AS q25, round(quantile_cont(cpm_eval-cpm_source, 0.75), 9) AS q75 FROM cpm GROUP BY kind")
@@ -173,10 +173,14 @@ def dst13(spark, d):
     return out.select("kind", "n", *[F.round(c, 9).alias(c) for c in ("mean", "q25", "median", "q75", "low", "high")], "outside")
 
 
-@query("DST16")
+@query("DST16", """WITH RECURSIVE p AS (SELECT 0.001::DOUBLE + i*(0.999::DOUBLE/999) AS p FROM range(1000) t(i)),
+  h AS (SELECT p, 0 AS step, 0::DOUBLE AS lo, p AS hi FROM p WHERE p > 0.1::DOUBLE + 1.645::DOUBLE*sqrt(greatest(p*(1-p)/64, 0))
+    UNION ALL SELECT p, step + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END
+      FROM (SELECT *, mid > 0.1::DOUBLE + 1.645::DOUBLE*sqrt(greatest(p*(1-p)/64 + (p-mid)*(1-(p-mid))/64, 0)) AS ok FROM (SELECT *, (lo+hi)/2 AS mid FROM h WHERE step < 100)))
+  SELECT round(p.p, 9) AS p, round(h.hi, 9) AS min_drop FROM p LEFT JOIN h ON h.p = p.p AND h.step = 100""")
 def dst16(spark, d):
     p = spark.range(1000).select((0.001 + F.col("id") * (0.999 / 999)).alias("p"))
-    return p.select("p", D.boundary_drop(F.col("p")).alias("min_drop"))
+    return p.select(F.round("p", 9).alias("p"), F.round(D.boundary_drop(F.col("p")), 9).alias("min_drop"))
 
 
 @query("PRJ3", f"WITH {INST} SELECT uid, cell, kind FROM ci")

@@ -96,8 +96,9 @@ def agg16(spark, d):
 def agg18(spark, d):
     few = regen(spark, d).groupBy("model", "dataset", "n", "c_del").agg(F.count("*").alias("w"))
     one = few.withColumns({f"p{k}": P.pass_at_k(F.col("n"), F.col("c_del"), F.lit(k)) for k in (1, 64)})
-    one.createOrReplaceTempView("own_agg18")
-    return spark.sql("SELECT model, coalesce(dataset, 'all') AS dataset, sum(w) AS n, round(sum(w*p1)/sum(w), 3) AS pass_1, round(sum(w*p64)/sum(w), 3) AS pass_64 FROM own_agg18 GROUP BY GROUPING SETS ((model), (model, dataset))")
+    mean = lambda c: F.round(F.sum(F.col("w") * F.col(c)) / F.sum("w"), 3)
+    both = one.groupingSets([[F.col("model")], [F.col("model"), F.col("dataset")]], "model", "dataset").agg(F.sum("w").alias("n"), mean("p1").alias("pass_1"), mean("p64").alias("pass_64"))
+    return both.select("model", F.coalesce("dataset", F.lit("all")).alias("dataset"), "n", "pass_1", "pass_64")
 
 
 @query("AGG19", f"WITH {REGEN_SQL}, sp AS (SELECT * FROM (SELECT unnest(['O', 'F', 'X']) AS model), (SELECT unnest(['A', 'N', 'R']) AS dataset)), g AS (SELECT model, dataset, count(*) AS n, count_if(NOT is_correct) AS f, avg(c_del/64::DOUBLE) FILTER (NOT is_correct) AS p FROM r GROUP BY ALL) SELECT sp.model, sp.dataset, CASE WHEN sp.model = 'X' THEN 'no_rollout' WHEN n IS NULL THEN 'no_cliffs' WHEN f = 0 THEN 'no_failures' ELSE 'ok' END AS status, CASE WHEN f > 0 THEN round(p, 9) END AS pass_1 FROM sp LEFT JOIN g ON g.model = sp.model AND g.dataset = sp.dataset")
@@ -161,12 +162,23 @@ def agg45(spark, d):
     return wide.select("dataset", F.round("m0", 9).alias("baseline"), *[F.round(F.col(m) - F.col("m0"), 9).alias(f"{m}_gain") for m in MODELS[1:]])
 
 
-@query("J16", f"WITH {ACC}, g AS (SELECT model, count(*) AS n FROM a GROUP BY model), s AS (SELECT model, avg(ok::INTEGER) AS p FROM a WHERE model <> 'm2' GROUP BY model) SELECT g.model, n, coalesce(round(100*p, 1)::VARCHAR||'(0)', '-') AS accuracy FROM g LEFT JOIN s ON s.model = g.model")
+ACCURACIES = """v AS (SELECT 'm'||(o_custkey%4) AS model, CASE o_orderkey%7 WHEN 0 THEN 'GSM1K' WHEN 1 THEN 'MATH500' WHEN 2 THEN 'AIME24' WHEN 3 THEN 'AIME25' WHEN 4 THEN 'AIME25_SE' WHEN 5 THEN 'GSM1K_n' ELSE 'MATH500_SE' END AS dataset, max(o_orderkey%1000)::VARCHAR AS value
+  FROM orders WHERE NOT (o_custkey%4 = 1 AND o_orderkey%7 IN (1, 4)) AND NOT (o_custkey%4 = 2 AND o_orderkey%7 IN (0, 2, 3)) AND o_custkey%4 < 3 GROUP BY ALL)"""
+
+
+@query("J16", f"""WITH {ACCURACIES}, m AS (SELECT 'm'||(o_custkey%4) AS model, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT model, max_by(value, dataset) AS a FROM v WHERE starts_with(dataset, 'AIME') AND NOT ends_with(dataset, '_SE') GROUP BY model),
+  e AS (SELECT model, max_by(value, dataset) AS e FROM v WHERE starts_with(dataset, 'AIME') AND ends_with(dataset, '_SE') GROUP BY model)
+  SELECT m.model, n, coalesce((SELECT value FROM v WHERE v.model = m.model AND dataset = 'GSM1K'), '-') AS gsm1k, coalesce((SELECT value FROM v WHERE v.model = m.model AND dataset = 'MATH500'), '-') AS math500,
+    CASE WHEN a IS NULL THEN '-' WHEN e IS NULL THEN a ELSE a||'('||e||')' END AS aime FROM m LEFT JOIN a ON a.model = m.model LEFT JOIN e ON e.model = m.model""")
 def j16(spark, d):
-    """Accuracies looked up for a summary; a dash where there is none."""
-    a = _acc(spark, d)
-    p = a.where("model <> 'm2'").groupBy("model").agg(F.round(100 * F.avg(F.col("ok").cast("int")), 1).alias("p"))
-    return a.groupBy("model").agg(F.count("*").alias("n")).join(p, "model", "left").select("model", "n", F.coalesce(F.concat(F.col("p").cast("string"), F.lit("(0)")), F.lit("-")).alias("accuracy"))
+    """Accuracies looked up for a summary, with their standard errors; a dash where there is none."""
+    from ..operators import summary
+
+    o = table(spark, d, "orders").select(F.concat(F.lit("m"), F.col("o_custkey") % 4).alias("model"), (F.col("o_custkey") % 4).alias("c"), (F.col("o_orderkey") % 7).alias("k"), "o_orderkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("GSM1K", "MATH500", "AIME24", "AIME25", "AIME25_SE", "GSM1K_n", "MATH500_SE")]), (F.col("k") + 1).cast("int"))
+    kept = o.where("not (c = 1 and k in (1, 4)) and not (c = 2 and k in (0, 2, 3)) and c < 3")
+    found = kept.groupBy("model", name.alias("dataset")).agg(F.max(F.col("o_orderkey") % 1000).cast("string").alias("value"))
+    return summary.accuracy_cells(o.groupBy("model").agg(F.count("*").alias("n")), found)
 
 
 @query("TOP8", "SELECT l_orderkey, l_linenumber, min(l_suppkey) FILTER (l_suppkey % 3 = 0) AS first_correct FROM lineitem GROUP BY ALL HAVING count_if(l_suppkey % 3 = 0) > 0")
@@ -203,6 +215,7 @@ def snk5(spark, d):
 
 @query("DST15", "SELECT l_quantity-l_linenumber AS distance, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(l_orderkey), l_quantity-l_linenumber) AS place FROM lineitem GROUP BY 1")
 def dst15(spark, d):
-    """Values by count, first seen first among equals; one row a distinct value is ranked."""
-    counted = table(spark, d, "lineitem").groupBy((F.col("l_quantity") - F.col("l_linenumber")).alias("distance")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("seen"))
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "seen", "distance")).cast("long")).drop("seen")
+    """Values by count, first seen first among equals."""
+    from ..operators import summary
+
+    return summary.value_counts(table(spark, d, "lineitem").select((F.col("l_quantity") - F.col("l_linenumber")).alias("distance"), "l_orderkey"), "distance", "l_orderkey")

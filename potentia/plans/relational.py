@@ -80,14 +80,23 @@ def _units(spark, d):
     return table(spark, d, "documents").groupBy(F.concat_ws("/", "source", "lang").alias("unit")).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
 
 
-@query("SMP6")
+def _lpt_sql(weight: str, tie: str) -> str:
+    """Heaviest first to the shard of the least (load, tie, number), a unit a step."""
+    pick = f"list_min(list_transform(range(8), lambda j: (l.load[j + 1] * 1000 + {tie}) * 10 + j)) % 10"
+    return f"""WITH RECURSIVE u AS (SELECT concat_ws('/', source, lang) AS unit, {weight} AS weight FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY weight DESC, unit) AS k FROM u),
+  l AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS unit, 0::BIGINT AS weight, list_transform(range(8), lambda j: 0::BIGINT) AS load, list_transform(range(8), lambda j: 0::BIGINT) AS n, 0::BIGINT AS shard
+    UNION ALL SELECT k, unit, weight, list_transform(load, lambda x, i: CASE WHEN i - 1 = p THEN x + weight ELSE x END), list_transform(n, lambda x, i: CASE WHEN i - 1 = p THEN x + 1 ELSE x END), p
+      FROM (SELECT r.k, r.unit, r.weight, l.load, l.n, {pick} AS p FROM l JOIN r ON r.k = l.k + 1))"""
+
+
+@query("SMP6", _lpt_sql("(count(*)*20+1)::BIGINT", "l.n[j + 1]") + " SELECT unit, weight, shard::INTEGER AS shard FROM l WHERE k > 0")
 def smp6(spark, d):
     return R.balanced_shards(_units(spark, d).withColumn("weight", F.col("docs") * 20 + 1), "unit", "weight", 8)
 
 
-@query("SMP7")
+@query("SMP7", _lpt_sql("sum(n_chars)::BIGINT", "0") + " SELECT unit, weight AS chars, shard::INTEGER AS shard FROM l WHERE k > 0")
 def smp7(spark, d):
-    return R.balanced_shards(_units(spark, d), "unit", "chars", 8)
+    return R.balanced_shards(_units(spark, d), "unit", "chars", 8, even_counts=False)
 
 
 @query("SMP8", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey)-1) % 8 AS shard FROM orders")

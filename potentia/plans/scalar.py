@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import names as N
 from ..functions import text as T
 from ..registry import query
 from .surrogates import RESPONSES_SQL, TEXT_SQL, cliffs_sql, path_ok, path_ok_sql, responses, table, text_tokens, tokens
@@ -183,41 +186,70 @@ def fn15(spark, d):
     return o.join(F.broadcast(dim), "mode").select("o_orderkey", F.coalesce("own", "t").alias("temperature"), F.when(F.col("own") == 0, 1.0).otherwise(F.col("p")).alias("top_p"), "max_tokens")
 
 
-@query("SRC10", "SELECT 'q'||o_orderkey AS id, o_orderpriority AS question, [o_custkey::VARCHAR] AS answer FROM orders")
+FORM_KEYS = ("gsm1k", "math500", "aime24", "aime25", "gsm8k")
+#: Raw problems from orders: a set a priority, blanks around questions, ids that lack or are 0, answers of several kinds.
+RAW = r"""o AS (SELECT o_orderkey AS k, left(o_orderpriority, 1)::BIGINT AS f, ' '||o_orderpriority||chr(10) AS q, CASE o_orderkey%4 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN '' ELSE 'u'||o_custkey END AS uid,
+    CASE WHEN o_orderkey%3 = 0 THEN ' 0'||(o_custkey%100)||' ' WHEN o_orderkey%3 = 1 THEN 'work #### '||o_custkey||' #### '||(o_custkey+1)||chr(10) ELSE 'x^'||o_custkey END AS a FROM orders),
+  n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY k)-1 AS i, regexp_replace(a, '^\s+|\s+$', '', 'g') AS s FROM o)"""
+
+
+@query("SRC10", f"""WITH {RAW} SELECT CASE f WHEN 1 THEN 'gsm1k' WHEN 2 THEN 'math500' WHEN 3 THEN 'aime24' WHEN 4 THEN 'aime25' ELSE 'gsm8k' END AS problem_set,
+  CASE WHEN f IN (2, 3, 4) AND uid LIKE 'u%' THEN uid ELSE CASE f WHEN 1 THEN 'GSM1K_' WHEN 2 THEN 'MATH_' WHEN 3 THEN 'AIME24_' WHEN 4 THEN 'AIME25_' ELSE 'GSM8K_' END||i END AS id, trim(q, ' '||chr(10)) AS question,
+  [CASE WHEN f = 3 AND regexp_matches(s, '^[0-9]+$') THEN s::BIGINT::VARCHAR WHEN f = 5 AND contains(a, '####') THEN trim(string_split(a, '####')[-1], ' '||chr(10)) ELSE s END] AS answer,
+  CASE WHEN f = 2 THEN CASE WHEN k%5 = 0 THEN '' ELSE 'level'||k%5 END END AS "level", CASE WHEN f = 5 THEN CASE WHEN i < 2500 THEN 1 WHEN i < 5000 THEN 2 ELSE 3 END END::BIGINT AS file FROM n""")
 def src10(spark, d):
-    """Raw problems to one form: an id where it lacks, and the answer after ####."""
-    raw = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("q"), "o_orderkey")).alias("id"), "o_orderkey", F.col("o_orderpriority").alias("question"), F.concat(F.lit("work #### "), "o_custkey", F.lit(" ")).alias("answer"))
-    return raw.select(F.coalesce("id", F.concat(F.lit("q"), "o_orderkey")).alias("id"), "question", F.array(F.trim(F.element_at(F.split("answer", "####"), -1))).alias("answer"))
+    """Raw problem sets in one form, each by its own rules; gsm8k's training problems in three files."""
+    from ..sources import problems
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    answer = F.when(k % 3 == 0, F.concat(F.lit(" 0"), c % 100, F.lit(" "))).when(k % 3 == 1, F.concat(F.lit("work #### "), c, F.lit(" #### "), c + 1, F.lit("\n"))).otherwise(F.concat(F.lit("x^"), c))
+    uid = F.when(k % 4 == 1, "0").when(k % 4 == 2, "").when(k % 4 == 3, F.concat(F.lit("u"), c))
+    raw = table(spark, d, "orders").select("o_orderkey", F.left("o_orderpriority", F.lit(1)).alias("f"), F.concat(F.lit(" "), "o_orderpriority", F.lit("\n")).alias("text"), uid.alias("uid"), answer.alias("answer"), F.when(k % 5 != 0, F.concat(F.lit("level"), k % 5)).alias("level"), F.lit(None).cast("string").alias("subject"))
+    sets = []
+    for f, form in enumerate(FORM_KEYS, 1):
+        question, key, _, more = problems.FORMS[form]
+        own = raw.where(F.col("f") == str(f)).withColumnsRenamed({"text": question, "uid": key or "uid"})
+        out = problems.normalise(own, form, "o_orderkey")
+        file = problems.training_file(F.col("n")) if form == "gsm8k" else F.lit(None).cast("long")
+        sets.append(out.select(F.lit(form).alias("problem_set"), "id", "question", "answer", (F.col("level") if "level" in more else F.lit(None).cast("string")).alias("level"), file.alias("file")))
+    return reduce(lambda a, b: a.unionByName(b), sets)
+
+
+MOST_DATASETS = 1000
 
 
 @query("SRC12", "SELECT o_custkey%9 AS model, o_orderpriority AS dataset, round(avg(o_orderkey%2), 6) AS accuracy FROM orders WHERE o_orderpriority NOT LIKE '5%' GROUP BY 1, 2")
 def src12(spark, d):
     """A wide accuracy table made long; count columns and dashes are left out."""
+    from ..operators import summary
+
     o = table(spark, d, "orders")
-    names = [r[0] for r in o.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]  # one row a dataset
+    names = [r[0] for r in o.select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(MOST_DATASETS + 1).collect()]  # one row a dataset
+    if len(names) > MOST_DATASETS:
+        raise ValueError(f"a wide table takes {MOST_DATASETS} datasets at most")
     wide = o.groupBy((F.col("o_custkey") % 9).alias("model")).agg(*[F.coalesce(F.when(F.lit(not n.startswith("5")), F.round(F.avg(F.when(F.col("o_orderpriority") == n, F.col("o_orderkey") % 2)), 6)).cast("string"), F.lit("-")).alias(n) for n in names], F.count("*").cast("string").alias("all_n"))
-    long = wide.unpivot(["model"], [c for c in wide.columns if c != "model" and not c.endswith(("_n", "_n_problems"))], "dataset", "accuracy")
-    return long.where("accuracy <> '-'").select("model", "dataset", F.col("accuracy").cast("double").alias("accuracy"))
+    return summary.accuracy_rows(wide)
 
 
-ALIASES = {"automobile": "Auto", "building": "Build", "machinery": "Machine"}
+ALIASES = {"Auto-1": "org/Auto", "auto-2": "org/Auto-Big", "build": "org/Building"}
+KNOWN = ["org/Auto", "org/Building", "other/Building", "lab/Machinery", "lab/Household/"]
 
 
-@query("SRC13", "SELECT c_custkey, CASE lower(c_mktsegment) WHEN 'automobile' THEN 'Auto' WHEN 'building' THEN 'Build' WHEN 'machinery' THEN 'Machine' ELSE c_mktsegment END AS model FROM customer")
+@query("SRC13", """WITH c AS (SELECT c_custkey, CASE c_custkey%14 WHEN 0 THEN 'Auto-1' WHEN 1 THEN 'auto-1' WHEN 2 THEN ' AUTO-2 ' WHEN 3 THEN 'BUILD' WHEN 4 THEN 'org/Auto' WHEN 5 THEN 'org/Auto//' WHEN 6 THEN 'ORG/AUTO/' WHEN 7 THEN 'machinery'
+    WHEN 8 THEN '/local/Machinery/' WHEN 9 THEN 'building' WHEN 10 THEN 'HOUSEHOLD' WHEN 11 THEN '  ' WHEN 12 THEN NULL ELSE ' '||c_mktsegment||'-x' END AS name FROM customer)
+  SELECT c_custkey, CASE c_custkey%14 WHEN 0 THEN 'org/Auto' WHEN 1 THEN 'auto-1' WHEN 2 THEN 'org/Auto-Big' WHEN 3 THEN 'org/Building' WHEN 4 THEN 'org/Auto' WHEN 5 THEN 'org/Auto' WHEN 6 THEN 'org/Auto' WHEN 7 THEN 'lab/Machinery'
+    WHEN 8 THEN 'lab/Machinery' WHEN 9 THEN 'building' WHEN 10 THEN 'lab/Household/' WHEN 11 THEN '' WHEN 12 THEN NULL ELSE name END AS model FROM c""")
 def src13(spark, d):
-    """Names resolved by alias, whatever their case; others stay."""
-    dim = spark.createDataFrame(list(ALIASES.items()), "alias string, model string")
-    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.lower(F.trim("c_mktsegment")).alias("alias"))
-    return c.join(F.broadcast(dim), "alias", "left").select("c_custkey", F.coalesce("model", "c_mktsegment").alias("model"))
+    """Names resolved by alias, known name or last part, whatever their case; others stay."""
+    forms = ["Auto-1", "auto-1", " AUTO-2 ", "BUILD", "org/Auto", "org/Auto//", "ORG/AUTO/", "machinery", "/local/Machinery/", "building", "HOUSEHOLD", "  ", None]
+    own = F.coalesce(F.get(F.array(*[F.lit(x) for x in forms]), (F.col("c_custkey") % 14).cast("int")), F.when(F.col("c_custkey") % 14 == 13, F.concat(F.lit(" "), "c_mktsegment", F.lit("-x"))))
+    return table(spark, d, "customer").select("c_custkey", own.alias("name")).select("c_custkey", N.resolve_model(F.col("name"), ALIASES, KNOWN).alias("model"))
 
 
 @query("SRC14", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'MATH' WHEN o_orderpriority LIKE '2%' THEN 'GSM1K' WHEN o_orderpriority LIKE '3%' THEN 'AIME' ELSE ds END AS source, CASE WHEN o_orderpriority LIKE '1%' THEN 2048 WHEN o_orderpriority LIKE '2%' THEN 1024 ELSE 4096 END AS max_tokens FROM (SELECT *, CASE WHEN o_orderpriority LIKE '1%' THEN 'math500_'||o_orderkey%3 WHEN o_orderpriority LIKE '2%' THEN 'GSM1K_shard'||o_orderkey%3 WHEN o_orderpriority LIKE '3%' THEN 'aime25' ELSE 'other' END AS ds FROM orders)")
 def src14(spark, d):
     """Source name and token limit of a dataset: by the longest known name that begins its own, in any case; else itself and the default."""
-    dim = spark.createDataFrame([("math", "MATH", 2048), ("gsm1k", "GSM1K", 1024), ("aime", "AIME", 4096)], "prefix string, source string, max_tokens int")
     p = F.left("o_orderpriority", F.lit(1))
     ds = F.when(p == "1", F.concat(F.lit("math500_"), F.col("o_orderkey") % 3)).when(p == "2", F.concat(F.lit("GSM1K_shard"), F.col("o_orderkey") % 3)).when(p == "3", "aime25").otherwise("other")
-    o = table(spark, d, "orders").select("o_orderkey", ds.alias("dataset"))
-    names = o.select("dataset").distinct()  # prefixes are matched for each distinct dataset, not for each row
-    known = names.join(F.broadcast(dim), F.startswith(F.lower("dataset"), F.col("prefix"))).groupBy("dataset").agg(F.max_by(F.struct("source", "max_tokens"), F.length("prefix")).alias("own"))
-    return o.join(F.broadcast(known), "dataset", "left").select("o_orderkey", F.coalesce("own.source", "dataset").alias("source"), F.coalesce("own.max_tokens", F.lit(4096)).alias("max_tokens"))
+    source, most = N.by_prefix(F.col("dataset"), {"math": ("MATH", 2048), "gsm1k": ("GSM1K", 1024), "aime": ("AIME", 4096)}, (None, 4096))
+    return table(spark, d, "orders").select("o_orderkey", ds.alias("dataset")).select("o_orderkey", source.alias("source"), most.alias("max_tokens"))

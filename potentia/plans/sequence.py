@@ -191,7 +191,11 @@ def seq20(spark, d):
     return S.significant(t).join(own, ["path_id", "pos"], "left").select("path_id", "pos", F.coalesce("own", "prev_score").alias("before_or_prev"), F.coalesce("own", F.lit(0.0)).alias("before_or_zero"), F.col("score").alias("at"))
 
 
-@query("SEQ21")
+@query("SEQ21", """WITH RECURSIVE r AS (SELECT source, doc_id, coalesce(n_chars, 0)::BIGINT AS n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id, n_chars) AS k FROM documents),
+  b AS (SELECT source, doc_id, n_chars, k, n_chars AS used, 0::BIGINT AS batch FROM r WHERE k = 1
+    UNION ALL SELECT r.source, r.doc_id, r.n_chars, r.k, CASE WHEN b.used > 0 AND b.used + r.n_chars > 16384 THEN r.n_chars ELSE b.used + r.n_chars END, CASE WHEN b.used > 0 AND b.used + r.n_chars > 16384 THEN b.batch + 1 ELSE b.batch END
+      FROM b JOIN r ON r.source = b.source AND r.k = b.k + 1)
+  SELECT source, doc_id, n_chars, batch FROM b""")
 def seq21(spark, d):
     """Greedy batches of documents within a source by size."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "n_chars")
