@@ -67,17 +67,6 @@ def light_grade(response: Column, golds: Column) -> Column:
     return F.when(answer.isNull() | (F.size(whole) == 0), F.lit(None).cast("boolean")).otherwise(F.array_contains(whole, answer))
 
 
-def decimal_equal(response: Column, golds: Column) -> Column:
-    """FN4, reduced: answers as decimal numbers or simple fractions, equal to 9 places. Symbolic forms are unequal unless written alike."""
-    def number(c: Column) -> Column:
-        t = normalise_answer(c)
-        frac = F.regexp_extract(t, r"^(?:\\[dt]?frac\{)?(-?[0-9.]+)(?:\}\{|/)([0-9.]+)\}?$", 1), F.regexp_extract(t, r"^(?:\\[dt]?frac\{)?(-?[0-9.]+)(?:\}\{|/)([0-9.]+)\}?$", 2)
-        return F.coalesce(t.try_cast("double"), F.try_divide(frac[0].try_cast("double"), frac[1].try_cast("double")))
-
-    own = F.coalesce(balanced_box(response), extract_answer(response))
-    return F.coalesce(F.exists(golds, lambda g: (F.trim(g) == F.trim(own)) | F.coalesce(F.abs(number(g) - number(own)) < 1e-9, F.lit(False))), F.lit(False))
-
-
 def token_type(token: Column) -> Column:
     """FN5: the first of fourteen rules that fits."""
     t = F.lower(F.regexp_replace(token, r"^\s+|\s+$", ""))

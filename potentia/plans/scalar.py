@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import answers as A
 from ..functions import names as N
 from ..functions import text as T
 from ..registry import query
@@ -29,19 +30,31 @@ def fn2(spark, d):
     return responses(spark, d).select("id", T.light_grade(F.col("response"), F.array("gold")).alias("light"))
 
 
-@query("FN3", f"WITH {RESPONSES_SQL}, {LIGHT} SELECT id, dataset, coalesce(light, dataset = 'math500' AND contains(response, '\\text{{'||gold||'}}') AND false, false) AS graded FROM lg")
+@query("FN3", f"WITH {RESPONSES_SQL}, {LIGHT} SELECT id, dataset, coalesce(light, dataset = 'math500' AND contains(response, '\\text{{'||gold||'}}'), false) AS graded FROM lg")
 def fn3(spark, d):
-    """Integers first; what is undecided is false on integer datasets, and compared as decimals elsewhere."""
+    """Integers first; what is undecided is false on integer datasets, and compared in normal form elsewhere."""
     r = responses(spark, d)
     light = T.light_grade(F.col("response"), F.array("gold"))
     whole = F.lower("dataset").startswith("gsm") | F.lower("dataset").startswith("aime")
-    return r.select("id", "dataset", F.coalesce(light, F.when(whole, False).otherwise(T.decimal_equal(F.col("response"), F.array("gold")))).alias("graded"))
+    return r.select("id", "dataset", F.coalesce(light, F.when(whole, False).otherwise(A.graded(F.col("response"), F.array("gold")))).alias("graded"))
 
 
-@query("FN4")
+#: Responses and gold answers that are spelled differently ({k}: the customer's key), and whether they are the same.
+ANSWERS = (
+    (r"\boxed{\dfrac{{k}}{4}}", "{k}/4", True), (r"so \boxed{2\frac12}", "5/2", True), (r"\boxed{{k}\sqrt{8}}", r"$2\cdot{k}$", False), (r"\boxed{{k}\sqrt{9}}", r"\sqrt[3]{27}\times{k}", False),
+    (r"\boxed{\sqrt[3]{27}}", "3", True), (r"\boxed{({k}, -1)}", r"\left({k},-1\right)", True), (r"\boxed{[{k}, 1)}", "({k},1)", False), (r"\boxed{\{1, {k}/2, 0.5\}}", r"\{\frac{{k}}{2}, 1, \frac{1}{2}\}", True),
+    (r"\boxed{{k}\%}", "{k}", True), (r"\boxed{x = {k}.0}", "{k}", True), (r"\boxed{\frac{\pi}{{k}}}", r"\frac{2\pi}{2{k}}", None), (r"\boxed{\frac{6\pi}{4}}", r"\frac{3}{2}\pi", True), (r"\boxed{(-3, {k})}", "({k},-3)", False),
+    ("The answer is {k}.", "{k}1", False), (r"\boxed{\text{Evelyn}}", "Evelyn", True), ("I do not know", "{k}", False), (r"\boxed{3, 1, 2}", "1,2,3", True), (r"\boxed{2^{10}}", "1,024", True), (r"\boxed{1.5\times10^{3}}", "1500", True), (r"\boxed{-\frac{{k}}{3}}", "-{k}/3", True),
+)
+
+
+@query("FN4", f"SELECT o_orderkey AS id, CASE o_orderkey%{len(ANSWERS)} " + " ".join(f"WHEN {i} THEN {str(bool(same)).lower()}" for i, (_, _, same) in enumerate(ANSWERS)) + " END AS equal FROM orders")
 def fn4(spark, d):
-    """The reduced symbolic comparison."""
-    return responses(spark, d).select("id", T.decimal_equal(F.col("response"), F.array("gold")).alias("equal"))
+    """Answers in normal form."""
+    at = (F.col("o_orderkey") % len(ANSWERS)).cast("int")
+    pick = lambda k: F.replace(F.get(F.array(*[F.lit(a[k]) for a in ANSWERS]), at), F.lit("{k}"), F.col("o_custkey").cast("string"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), pick(0).alias("response"), pick(1).alias("gold"))
+    return rows.select("id", A.graded(F.col("response"), F.array("gold")).alias("equal"))
 
 
 def _words(ws) -> str:

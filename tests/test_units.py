@@ -5,11 +5,13 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from potentia.functions import answers, names
 from potentia.functions import potential as P
 from potentia.functions import text as T
 from potentia.operators import distribution as D
 from potentia.operators import relational as R
 from potentia.operators import sequence as S
+from potentia.sources import problems
 
 
 def path(spark, *scores, key=1):
@@ -151,3 +153,61 @@ def test_shards_are_balanced(spark):
 def test_numbering_without_a_single_task(spark):
     df = spark.createDataFrame([(i * 7 % 100,) for i in range(100)], "k long")
     assert [(r.k, r.n) for r in R.numbered(df, "k", buckets=5).orderBy("k").collect()] == [(i, i) for i in range(100)]
+
+
+SAME = [
+    (r"\frac{1}{2}", "0.5"), (r"\dfrac12", "1/2"), ("50\\%", "50"), (r"3\frac{1}{4}", "13/4"), (r"2\sqrt{2}", r"\sqrt{8}"), (r"\frac{\sqrt{3}}{2}", r"\frac{3}{2\sqrt{3}}"), (r"\sqrt[3]{8}", "2"), (r"(1,\,2)", r"\left( 1, 2.0\right)"),
+    (r"\{2,1\}", "1, 2"), (r"[0, \frac{1}{2})", "[0,0.5)"), (r"x=5", "5"), (r"90^\circ", "90"), (r"1,000,000", "1000000"), (r"\text{B}", "B"), (r"2^{3}", "8"), (r"-\frac{\pi}{2}", r"\frac{-1}{2}\pi"), ("\\$5", "5."), (r"3\times10^{-2}", "0.03"), (r"x^2 + 1", "x^2+1"),
+]
+UNLIKE = [("1/2", "2"), ("(1,2)", "(2,1)"), ("(1,2)", "[1,2]"), (r"\{1,2\}", r"\{1,2,2\}"), ("x", "y"), ("", "0"), (r"\sqrt{2}", "1.414"), ("1/0", "2/0"), ("i", "1"), (None, "1")]
+
+
+def test_answers_in_normal_form(spark):
+    rows = spark.createDataFrame([(a, b, True) for a, b in SAME] + [(b, a, True) for a, b in SAME] + [(a, b, False) for a, b in UNLIKE], "a string, b string, want boolean")
+    for r in rows.select("a", "b", "want", answers.equal(F.col("a"), F.array(F.lit("none"), F.col("b"))).alias("got")).collect():
+        assert r.got == r.want, r
+    boxed = spark.sql(r"select 'thus \\boxed{1} or \\boxed{\\frac{1}{2}}' r").select(answers.graded(F.col("r"), F.array(F.lit("0.5"))).alias("x")).first()
+    assert boxed.x
+
+
+def test_names(spark):
+    aliases, known = {"A": "o/a1", "b": "o/b1"}, ["o/X", "p/Y", "q/Y"]
+    want = {"A": "o/a1", "B": "o/b1", " b ": "o/b1", "a": "a", "o/x//": "o/X", "x": "o/X", "/data/X/": "o/X", "y": "y", " z ": " z ", "  ": "", "p/y": "p/Y"}
+    rows = spark.createDataFrame([(k,) for k in [*want, None]], "n string").select("n", names.resolve_model(F.col("n"), aliases, known).alias("got")).collect()
+    assert {r.n: r.got for r in rows} == {**want, None: None}
+    assert spark.range(1).select(names.resolve_model(F.lit("q"), {}, []).alias("x")).first().x == "q"
+
+
+def test_problem_sets(spark):
+    raw = spark.createDataFrame([(2, " q2\n", "work #### 7 ####  8 "), (1, "q1", " 9"), (3, None, None)], "k int, question string, answer string")
+    rows = problems.normalise(raw, "gsm8k", "k").orderBy("n").collect()
+    assert [(r.id, r.question, r.answer) for r in rows] == [("GSM8K_0", "q1", ["9"]), ("GSM8K_1", "q2", ["8"]), ("GSM8K_2", None, [None])]
+    years = spark.createDataFrame([(1, None, "p", "007"), (2, "0", "p", "x"), (3, "id3", "p", "000")], "k int, id string, problem string, answer string")
+    assert [(r.id, r.answer[0]) for r in problems.normalise(years, "aime24", "k").orderBy("n").collect()] == [("AIME24_0", "7"), ("AIME24_1", "x"), ("id3", "0")]
+    files = spark.range(7473).groupBy(problems.training_file(F.col("id")).alias("f")).count().collect()
+    assert {r.f: r["count"] for r in files} == {1: 2500, 2: 2500, 3: 2473}
+
+
+def test_quantiles_in_ranges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [("a", float(x)) for x in rng.normal(size=999).round(2)] + [("b", 1.0)] * 5 + [("c", None), ("c", 2.0), (None, 4.0), (None, 5.0)]
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
+    groups = {g: [x for h, x in data if h == g and x is not None] for g in ("a", "b", "c", None)}
+    for r in D.quantiles(df, "x", "g", (0.0, 0.25, 0.5, 0.9, 1.0)).collect():
+        assert [r.p0, r.p25, r.p50, r.p90, r.p100] == pytest.approx(np.percentile(groups[r.g], [0, 25, 50, 90, 100]).tolist())
+    steps = D.ecdf(df, "x", "g").collect()
+    for r in steps:
+        assert r.share == pytest.approx(sum(x <= r.x for x in groups[r.g]) / len(groups[r.g]))
+    assert D.quantiles(df.limit(0), "x", "g", (0.5,)).count() == 0 == D.ecdf(df.limit(0), "x", "g").count()
+
+
+def test_batches_and_shards_of_odd_rows(spark):
+    rows = [("a", 1, 5), ("a", 2, None), ("a", 3, 6), ("a", 4, 50), ("a", 5, 1), (None, 1, 10), (None, 2, 1)]
+    got = S.batches(spark.createDataFrame(rows, "g string, o long, c long"), 10, "g", "o", "c").collect()
+    assert sorted(((r.g or "", r.o), r.batch) for r in got) == [(("", 1), 0), (("", 2), 1), (("a", 1), 0), (("a", 2), 0), (("a", 3), 1), (("a", 4), 2), (("a", 5), 3)]
+    units = spark.createDataFrame([("u", 0), ("v", 0), ("w", 0), ("x", 3)], "k string, w long")
+    shard = lambda **o: {r.k: r.shard for r in R.balanced_shards(units, "k", "w", 2, **o).collect()}
+    assert shard() == {"x": 0, "u": 1, "v": 1, "w": 1} and shard(even_counts=False) == {"x": 0, "u": 1, "v": 1, "w": 1}
+    assert R.balanced_shards(units.limit(0), "k", "w", 2).count() == 0
