@@ -1,7 +1,7 @@
 """Op 2: nearest neighbours by randomly rotated one-bit codes.
 
-Each vector, less the mean and scaled to length 1, is rotated at random (into `bits` dimensions, four for each of
-its own) and kept as its signs, packed in 64-bit words, with two scalars: its distance to the mean and its inner product with
+Each vector, less the mean and scaled to length 1, is rotated at random (into `bits` dimensions, eight for each of
+its own; with four, three times as many vectors have to be read) and kept as its signs, packed in 64-bit words, with two scalars: its distance to the mean and its inner product with
 its own code. A rotated query is rounded to QUERY_BITS bits a dimension; its inner product with a code is then counted: for
 each bit plane of the query the set bits that it shares with the code. Divided by the code's scalar, that
 estimates the cosine without bias; its error is below `eps` standard deviations but for a few in a hundred, and each vector gets a lower and
@@ -9,8 +9,9 @@ an upper bound of its squared distance. Only vectors whose lower bound does not
 upper bound are read in full and ranked by the exact distance.
 
 Every row is indexed. Codes are kept apart from the vectors, in blocks; blocks of codes meet blocks of queries, and each pair of
-a query block and a share of the code blocks is a task of its own, however many of either there are. A task hands over what its
-own bounds leave; the bounds of all tasks then leave the rows to read, by a join on their ids. Equal vectors are searched once: at most
+a query block and a share of the code blocks is a task of its own, however many of either there are. In a first pass a task hands
+over the k + 1 smallest upper bounds of each query; those of all tasks give its limit, and a second pass over the codes the ids that stay
+below it, some hundred a query, which are joined with the vectors. Equal vectors are searched once: at most
 k + 1 of them, those of the smallest ids, can be among the k nearest of any query, so a group of copies of
 any size costs k + 1 rows.
 
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 from .common import cut
 
 INDEX = "ids binary, codes binary, norms binary, ips binary, n int"
-SURVIVORS = "q long, vec_id long, lower double, upper double"
+LIMITS, SURVIVORS = "q long, uppers array<double>", "q long, vec_id long"
 BLOCK_ROWS, QUERY_ROWS, QUERY_BITS = 2048, 4096, 4
 #: Pairs of a code and a query that a task compares, about; and tasks at most.
 TASK_PAIRS, MOST_TASKS = 1 << 22, 20_000
@@ -109,12 +110,12 @@ class Queries:
         return middle - slack, middle + slack
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 10, bits: int | None = None, eps: float = 2.0, seed: int = 7, broadcast_rows: int = 200_000, **names) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, k: int = 10, bits: int | None = None, eps: float = 2.0, seed: int = 7, broadcast_rows: int = 500_000, **names) -> DataFrame:
     """The k nearest other vectors of each query row: query_id, rank, vec_id, score (Euclidean distance, double)."""
     rows = cut(usable(vectors, **names))
     first = rows.select(F.size("v").alias("d")).first()
     d = first.d if first else 1
-    bits = max(bits or 4 * d, d)
+    bits = max(bits or 8 * d, d)
     bits += -bits % 64
     means = rows.agg(F.count("*"), *[F.avg(F.col("v")[i]) for i in range(d)]).first()
     centre = np.array([x or 0.0 for x in means[1:]])
@@ -127,40 +128,52 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 10, bits: int | Non
     n_asked = asked.count()
     blocks = max(1, math.ceil(n_asked / QUERY_ROWS))
     shares = min(max(1, MOST_TASKS // blocks), max(1, math.ceil(means[0] * n_asked / TASK_PAIRS / blocks)))
-    dealt = asked.withColumn("own_b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy("own_b").agg(F.collect_list(F.struct("q", "v")).alias("asked"))  # about QUERY_ROWS in each
-    packed = packed.withColumn("own_s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    coded = index(candidates, centre, rotation).withColumns({"own_s": F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"), "own_b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    pairs = coded.repartition(blocks * shares, "own_b", "own_s").join(packed.repartition(blocks * shares, "own_b", "own_s"), ["own_b", "own_s"])
-
-    def likely(batches):
-        own: dict = {}  # of the query blocks met here: the queries, and each one's k + 1 smallest upper bounds so far
+    block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("own_b")
+    coded = cut(index(candidates, centre, rotation).withColumn("own_s", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")))
+
+    def met(some: DataFrame) -> DataFrame:
+        """Blocks of codes, each with the rows of a block of queries; as many tasks as there are pairs of query blocks and shares."""
+        packed = some.groupBy(block).agg(F.collect_list(F.struct(*some.columns)).alias("asked"))  # about QUERY_ROWS in each
+        packed = packed.withColumn("own_s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(blocks * shares, "own_b", "own_s")
+        spread = coded.withColumn("own_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks * shares, "own_b", "own_s")
+        return spread.join(packed, ["own_b", "own_s"]).select("own_b", "ids", "codes", "norms", "ips", "asked")
+
+    def rows_met(batches):
+        """(whether the queries are new, their rows, the queries, ids, codes, norms, ips) of each block of codes; one block of queries at a time."""
+        at, some, q = None, None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                block = {name: batch.column(name)[r].as_py() for name in ("own_b", "ids", "codes", "norms", "ips")}
-                if block["own_b"] not in own:
-                    some = batch.column("asked")[r].as_py()
-                    own = {block["own_b"]: (np.array([x["q"] for x in some]), Queries(np.array([x["v"] for x in some]), centre, rotation), np.full((len(some), k + 1), np.inf))}
-                keys, q, least = own[block["own_b"]]
-                ids, norms, ips = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["norms"]), np.frombuffer(block["ips"])
-                codes = np.frombuffer(block["codes"], "<u8").reshape(-1, len(ids))
-                out = []
-                for i in range(len(keys)):
-                    lower, upper = q.bounds(i, codes, norms, ips, eps)
-                    near = upper[upper < least[i, k]]
-                    if len(near):
-                        both = np.concatenate([least[i], near])
-                        least[i] = np.sort(both if len(both) <= 2 * k + 2 else np.partition(both, k)[: k + 1])[: k + 1]
-                    chosen = np.flatnonzero(lower <= least[i, k])
-                    if len(chosen):
-                        out.append((np.full(len(chosen), keys[i]), ids[chosen], lower[chosen], upper[chosen]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[x.split()[0] for x in SURVIVORS.split(", ")])
-
-    found = pairs.select("own_b", "ids", "codes", "norms", "ips", "asked").mapInArrow(likely, SURVIVORS)
-    by_upper = Window.partitionBy("q").orderBy("upper")
-    limit = F.max(F.when(F.col("own_r") <= k + 1, F.col("upper"))).over(Window.partitionBy("q"))
-    left = cut(found.withColumn("own_r", F.row_number().over(by_upper)).withColumn("own_limit", limit).where("lower <= own_limit").select("q", "vec_id"))
+                own = batch.column("own_b")[r].as_py()
+                new = at != own
+                if new:
+                    at, some = own, batch.column("asked")[r].as_py()
+                    q = Queries(np.array([x["v"] for x in some]), centre, rotation)
+                ids, norms, ips = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("ids", np.int64), ("norms", float), ("ips", float)))
+                yield new, some, q, ids, np.frombuffer(batch.column("codes")[r].as_py(), "<u8").reshape(-1, len(ids)), norms, ips
+
+    def limits(batches):
+        some, least = [], None
+        for new, now, q, _, codes, norms, ips in rows_met(batches):
+            if new:
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in some], pa.int64()), pa.array([x[np.isfinite(x)] for x in least])], names=["q", "uppers"])
+                some, least = now, np.full((len(now), k + 1), np.inf)
+            for i in range(len(some)):
+                upper = q.bounds(i, codes, norms, ips, eps)[1]
+                near = np.concatenate([least[i], upper[upper < least[i, k]]])
+                least[i] = np.sort(np.partition(near, k)[: k + 1])
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in some], pa.int64()), pa.array([x[np.isfinite(x)] for x in least])], names=["q", "uppers"])
+
+    def likely(batches):
+        for _, some, q, ids, codes, norms, ips in rows_met(batches):
+            near = [np.flatnonzero(q.bounds(i, codes, norms, ips, eps)[0] <= x["own_limit"]) for i, x in enumerate(some)]
+            keys = np.repeat([x["q"] for x in some], [len(x) for x in near])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[np.concatenate(near)], pa.int64())], names=["q", "vec_id"])
+
+    uppers = met(asked.select("q", "v")).mapInArrow(limits, LIMITS).groupBy("q").agg(F.sort_array(F.flatten(F.collect_list("uppers"))).alias("own_u"))  # k + 1 a share
+    limited = cut(asked.join(uppers.select("q", F.coalesce(F.get("own_u", F.lit(k)), F.array_max("own_u")).alias("own_limit")), "q").select("q", "v", "own_limit"))
+    left = cut(met(limited).mapInArrow(likely, SURVIVORS))
     few = left.limit(broadcast_rows + 1).count() <= broadcast_rows
     read = candidates.join(F.broadcast(left) if few else left, "vec_id")
     squares = F.zip_with("v", "own_q", lambda a, b: (a - b) * (a - b))
