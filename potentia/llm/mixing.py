@@ -22,6 +22,7 @@ count to the power `alpha`, over all rows; others can be given, and a source wit
 
 from __future__ import annotations
 
+import json
 import math
 from array import array
 from heapq import heappop, heappush
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh
+from .common import cut, fresh
 
 ADDED = ("mix_block", "mix_slot", "mix_place", "mix_release", "mix_deadline")
 
@@ -94,9 +95,10 @@ def schedule(docs: DataFrame, *, block_docs: int = 32, most_blocks: int = 1 << 1
     placed = numbered.withColumns({"mix_block": F.expr(f"{n} div {block_docs}"), "mix_place": F.col(n) % block_docs})
     blocks = [-(-r.rows // block_docs) for r in sources]
     length = sum(r.share for r in sources)
-    dealt = [(r.own_source, r.share, own.tolist()) for r, own in zip(sources, deal([(r.share, k) for r, k in zip(sources, blocks)]))]
-    plan = docs.sparkSession.createDataFrame(dealt, f"{source} string, {share} long, slots array<long>", verifySchema=False)
-    plan = plan.select(source, share, F.posexplode("slots").alias("mix_block", "mix_slot")).withColumn("mix_block", F.col("mix_block").cast("long"))
+    dealt = [{"source": r.own_source, "share": r.share, "slots": own.tolist()} for r, own in zip(sources, deal([(r.share, k) for r, k in zip(sources, blocks)]))]
+    each = F.inline(F.from_json(F.lit(json.dumps(dealt)), "array<struct<source string, share long, slots array<long>>>")).alias(source, share, "slots")
+    plan = docs.sparkSession.range(1).select(each).select(source, share, F.posexplode("slots").alias("mix_block", "mix_slot"))
+    plan = cut(plan.withColumn("mix_block", F.col("mix_block").cast("long")))  # so that the slots stand in one plan only
     found = placed.join(F.broadcast(plan) if sum(blocks) <= broadcast_rows else plan, [source, "mix_block"])
     release = F.expr(f"mix_block * {length} div {share}")
     due = F.expr(f"((mix_block + 1) * {length} + {share} - 1) div {share}")
