@@ -7,7 +7,8 @@ keyboard walks and brute-force characters. A value that needs `least_log10` gues
 span; cheaper ones ("password: changeme") are counted as weak. Nothing but the cost decides.
 
 Words are ranked: first those that guessers try first (WORDS), then the `dictionary_words` words that stand in most
-documents of the corpus, counted over all of them (a parameter that bounds the guesser's dictionary, not the scan). Values in
+documents of the corpus (or fewer: all that stand in at least so many), counted over all of them; the parameter bounds the
+guesser's dictionary, not the scan. Values in
 credential contexts are left out of that count, so that a secret in many copies doesn't become a word.
 
 The scan is one pass over the texts in Arrow batches; a text without any of the names or runs is passed by with byte
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -180,7 +183,15 @@ def common_words(docs: DataFrame, dictionary_words: int) -> list[str]:
     prose = F.when(named, F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")).otherwise(F.col("text"))
     own = F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit(rf"\p{{L}}{{3,{LONGEST_WORD}}}"), F.lit(0)))
     counts = docs.where("text is not null").select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(dictionary_words).collect()]
+    counts = cut(counts.where("n > 1").withColumn("octave", F.floor(F.log2("n") * 8)))
+    # the least number of documents (in eighths of octaves) that no more words reach, so that only these come to the driver
+    least, words = math.inf, 0
+    for r in counts.groupBy("octave").agg(F.count("*").alias("words")).orderBy(F.desc("octave")).collect():
+        words += r.words
+        if words > dictionary_words:
+            break
+        least = r.octave
+    return [r.word for r in sorted(counts.where(F.col("octave") >= least).collect(), key=lambda r: (-r.n, r.word))]
 
 
 def scan(docs: DataFrame, *, least_log10: float = 12.0, dictionary_words: int = 20_000) -> DataFrame:
