@@ -17,10 +17,17 @@ def read_paths(spark: SparkSession, path: str, schema: str, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def significant_drops(tokens: DataFrame, to: str, checkpoint: str, key: str = "path_id") -> StreamingQuery:
-    """Append the significant drops of each micro-batch; a batch that is run again after a failure replaces its own rows."""
+def per_batch(stream: DataFrame, operator, to: str, checkpoint: str) -> StreamingQuery:
+    """Append what a batch operator makes of each micro-batch; a batch that is run again after a failure replaces its own rows.
+
+    For operators whose windows are keyed by path: significant drops, critical positions, chunks, profiles.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        S.significant(batch, key).write.mode("overwrite").parquet(f"{to}/batch={number}")
+        operator(batch).write.mode("overwrite").parquet(f"{to}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return tokens.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def significant_drops(tokens: DataFrame, to: str, checkpoint: str, key: str = "path_id") -> StreamingQuery:
+    return per_batch(tokens, lambda batch: S.significant(batch, key), to, checkpoint)
