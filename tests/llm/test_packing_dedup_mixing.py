@@ -246,3 +246,32 @@ def test_mixing_deals_a_large_source_among_many_small_ones():
     assert all(k * length // w <= t < -(-(k + 1) * length // w) for (w, _), own in zip(shares, slots) for k, t in enumerate(own))
     first = sorted((t, i) for i, own in enumerate(slots) for t in own)[:10_000]
     assert abs(sum(not i for _, i in first) - 450) <= 1
+
+
+def test_schedule_of_many_slots_keeps_to_the_given_weights():
+    """200,000 slots and weights that no short cycle holds: after every slot each source is within a block of its given weight's share."""
+    weights = [2**0.5, 3.14159265, 1 / 3, 0.0001, 0.77777, 2.0]
+    total, cycle, slots = sum(weights), 2**32, 200_000
+    shares = [(max(1, round(w / total * cycle)), int(w / total * slots) + 2) for w in weights]
+    dealt = mixing.deal(shares)
+    owner = np.full(max(max(x) for x in dealt) + 1, -1)
+    for i, own in enumerate(dealt):
+        owner[np.array(own)] = i
+    until = min(own[-1] for i, own in enumerate(dealt) if i != 3)
+    assert until > 199_000
+    at = np.arange(1, until + 1)
+    for i, w in enumerate(weights):
+        had = np.cumsum(owner[:until] == i)
+        if i == 3:
+            had = had[: dealt[3][-1]]
+        assert np.abs(had - w / total * at[: len(had)]).max() < 1 + 1e-3
+
+
+def test_ten_thousand_sources_and_bounded_blocks(spark):
+    docs = spark.range(30_000).selectExpr("id doc_id", "case when id < 10000 then 'hot' else concat('s', id % 10000) end source")
+    rows = mixing.schedule(docs, block_docs=1).collect()
+    assert len(rows) == 30_000 == len({r.mix_slot for r in rows}) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in rows)
+    few = mixing.schedule(docs.where("source = 'hot' or doc_id % 100 = 7"), block_docs=1, most_blocks=500).collect()
+    counts = Counter((r.source, r.mix_block) for r in few)
+    assert sorted(r.doc_id for r in few) == sorted([*range(10_000), *(k for k in range(10_000, 30_000) if k % 100 == 7)])
+    assert max(counts.values()) == -(-len(few) // 500) and len(counts) <= 500 + len({r.source for r in few})
