@@ -10,7 +10,7 @@ Weights are whole parts of `cycle_slots`, 2^32 by default, so what rounding them
 some 2^32 slots, which no schedule reaches. The driver deals the slots from one row a source, in a loop with a step a block, so at
 most `most_blocks` and one a source, whatever the corpus; the slots go back as one row a source and are joined with the documents,
 by broadcast up to `broadcast_rows` blocks. Positions
-within a source come from counts of hash buckets and their running sums, so a source that holds a third
+within a source are those of the rows' hashes; they come from counts of hash ranges and their running sums, so a source that holds a third
 of all rows is spread over as many tasks as any. When a source has run out, other blocks that are released
 may have its slots, and where there is none they stay vacant. No row is dropped or repeated.
 
@@ -27,13 +27,14 @@ import math
 from array import array
 from heapq import heappop, heappush
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, fresh
 
 ADDED = ("mix_block", "mix_slot", "mix_place", "mix_release", "mix_deadline")
+HASH_BITS = 62
 
 
 def shares(docs: DataFrame, *, alpha: float = 0.7, cycle_slots: int = 2**32, weights: dict[str | None, float] | None = None) -> DataFrame:
@@ -74,40 +75,140 @@ def deal(shares: list[tuple[int, int]]) -> list[array]:
 
 
 def _hash(docs: DataFrame) -> Column:
-    """Hash of all columns; those that hold maps or variants, which can't be hashed, as JSON."""
+    """62 bits of a hash of all columns; those that hold maps or variants, which can't be hashed, as JSON."""
     plain = lambda f: not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
     column = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
-    return F.xxhash64(*[column(f) if plain(f) else F.to_json(F.struct(column(f))) for f in docs.schema])
+    hashed = F.xxhash64(*[column(f) if plain(f) else F.to_json(F.struct(column(f))) for f in docs.schema])
+    return hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
 
 
-def schedule(docs: DataFrame, *, block_docs: int = 32, most_blocks: int = 1 << 18, bucket_rows: int = 256, broadcast_rows: int = 1 << 19, **targets) -> DataFrame:
-    """All rows and columns of docs, with mix_block, mix_slot, mix_place, mix_release and mix_deadline; sort by mix_slot, mix_place."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    source, hashed, bucket, n, count, start, share = fresh([*docs.columns, *ADDED], "own_source", "own_hash", "own_bucket", "own_n", "own_c", "own_start", "own_share")
-    sources = shares(docs, **targets).orderBy("own_source").collect()  # one row a source
-    block_docs = max(block_docs, math.ceil(sum(r.rows for r in sources) / most_blocks))
-    buckets = max(1, math.ceil(max((r.rows for r in sources), default=0) / bucket_rows))
-    keyed = docs.withColumns({source: F.to_json(F.struct("source")), hashed: _hash(docs)}).withColumn(bucket, F.pmod(hashed, F.lit(buckets)))
+def _source() -> Column:
+    return F.to_json(F.struct("source"))
+
+
+class _Deal:
+    """The slots of every block, from one row a source: sources, blocks (of each), slots (of each), block_docs, buckets (as bits)."""
+
+    def __init__(self, docs: DataFrame, block_docs: int, most_blocks: int, bucket_rows: int, targets: dict):
+        self.sources = shares(docs, **targets).orderBy("own_source").collect()
+        self.block_docs = max(block_docs, math.ceil(sum(r.rows for r in self.sources) / most_blocks))
+        self.blocks = [-(-r.rows // self.block_docs) for r in self.sources]
+        self.slots = deal([(r.share, k) for r, k in zip(self.sources, self.blocks)])
+        self.length = sum(r.share for r in self.sources)
+        self.bits = max(0, max((r.rows for r in self.sources), default=0) // bucket_rows).bit_length()
+
+    def plan(self, spark: SparkSession) -> DataFrame:
+        """own_source, share, mix_block, mix_slot of every block."""
+        rows = [{"source": r.own_source, "share": r.share, "slots": own.tolist()} for r, own in zip(self.sources, self.slots)]
+        one = _inlined(spark, rows, "source:string, share:long, slots:array<long>")
+        plan = one.select(F.col("source").alias("own_source"), "share", F.posexplode("slots").alias("mix_block", "mix_slot"))
+        return cut(plan.withColumn("mix_block", F.col("mix_block").cast("long")))  # so that the slots stand in one plan only
+
+    def files(self, count: int) -> list[list[tuple[int, int]]]:
+        """For each source where `count` files of like numbers of blocks begin, in the slots' order: (file, its first row of the source)."""
+        order = sorted((slot, i) for i, own in enumerate(self.slots) for slot in own)
+        begins, block = [[] for _ in self.sources], [0] * len(self.sources)
+        for k, (_, i) in enumerate(order):
+            file = k * count // len(order)
+            if not begins[i] or begins[i][-1][0] != file:
+                begins[i].append((file, block[i] * self.block_docs))
+            block[i] += 1
+        return begins
+
+
+def _inlined(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows that the driver holds, as a literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _ranked(keyed: DataFrame, bits: int, source: str, hashed: str, n: str, *ranks: tuple[str, Column]) -> DataFrame:
+    """keyed with n, a row's place in its source by hash, from 0, and other ranks of that order."""
+    bucket, count, start = fresh([*keyed.columns, n, *(x for x, _ in ranks)], "own_bucket", "own_c", "own_start")
+    keyed = keyed.withColumn(bucket, F.shiftright(hashed, HASH_BITS - bits))
     in_source = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy(source, bucket).agg(F.count("*").alias(count)).select(source, bucket, F.coalesce(F.sum(count).over(in_source), F.lit(0)).alias(start))
     in_bucket = Window.partitionBy(source, bucket).orderBy(hashed)
-    numbered = keyed.withColumn(n, F.row_number().over(in_bucket) - 1).join(starts, [source, bucket]).withColumn(n, F.col(start) + F.col(n))
-    placed = numbered.withColumns({"mix_block": F.expr(f"{n} div {block_docs}"), "mix_place": F.col(n) % block_docs})
-    blocks = [-(-r.rows // block_docs) for r in sources]
-    length = sum(r.share for r in sources)
-    dealt = [{"source": r.own_source, "share": r.share, "slots": own.tolist()} for r, own in zip(sources, deal([(r.share, k) for r, k in zip(sources, blocks)]))]
-    each = F.inline(F.from_json(F.lit(json.dumps(dealt)), "array<struct<source string, share long, slots array<long>>>")).alias(source, share, "slots")
-    plan = docs.sparkSession.range(1).select(each).select(source, share, F.posexplode("slots").alias("mix_block", "mix_slot"))
-    plan = cut(plan.withColumn("mix_block", F.col("mix_block").cast("long")))  # so that the slots stand in one plan only
-    found = placed.join(F.broadcast(plan) if sum(blocks) <= broadcast_rows else plan, [source, "mix_block"])
-    release = F.expr(f"mix_block * {length} div {share}")
-    due = F.expr(f"((mix_block + 1) * {length} + {share} - 1) div {share}")
-    return found.select(*docs.columns, "mix_block", "mix_slot", "mix_place", release.alias("mix_release"), due.alias("mix_deadline"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs in the schedule's order, split into ranges of slots."""
-    kept = dict(zip(ADDED, fresh(docs.columns, *(f"own_{c}" for c in ADDED))))
-    back = {kept[c.lower()]: c for c in docs.columns if c.lower() in kept}
-    planned = schedule(docs.withColumnsRenamed({c: k for k, c in back.items()}), **options).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").drop(*ADDED)
-    return planned.withColumnsRenamed(back).select(*docs.columns)
+    added = [(n, F.row_number()), *ranks]
+    found = keyed.withColumns({x: r.over(in_bucket) - 1 for x, r in added}).join(starts, [source, bucket])
+    return found.withColumns({x: F.col(start) + F.col(x) for x, _ in added}).drop(bucket, start)
+
+
+def _slotted(numbered: DataFrame, columns: list[str], dealt: _Deal, source: str, n: str, broadcast_rows: int) -> DataFrame:
+    """The columns and ADDED of rows that have n, their place in their source."""
+    share = fresh([*numbered.columns, *ADDED], "own_share")[0]
+    plan = dealt.plan(numbered.sparkSession).select(F.col("own_source").alias(source), F.col("share").alias(share), "mix_block", "mix_slot")
+    placed = numbered.withColumns({"mix_block": F.expr(f"{n} div {dealt.block_docs}"), "mix_place": F.col(n) % dealt.block_docs})
+    found = placed.join(F.broadcast(plan) if sum(dealt.blocks) <= broadcast_rows else plan, [source, "mix_block"])
+    release = F.expr(f"mix_block * {dealt.length} div {share}")
+    due = F.expr(f"((mix_block + 1) * {dealt.length} + {share} - 1) div {share}")
+    return found.select(*columns, "mix_block", "mix_slot", "mix_place", release.alias("mix_release"), due.alias("mix_deadline"))
+
+
+def schedule(docs: DataFrame, *, block_docs: int = 32, most_blocks: int = 1 << 18, bucket_rows: int = 256, broadcast_rows: int = 1 << 19, **targets) -> DataFrame:
+    """All rows and columns of docs, with mix_block, mix_slot, mix_place, mix_release and mix_deadline; sort by mix_slot, mix_place."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    source, hashed, n = fresh([*docs.columns, *ADDED], "own_source", "own_hash", "own_n")
+    dealt = _Deal(docs, block_docs, most_blocks, bucket_rows, targets)
+    keyed = docs.withColumns({source: _source(), hashed: _hash(docs)})
+    return _slotted(_ranked(keyed, dealt.bits, source, hashed, n), docs.columns, dealt, source, n, broadcast_rows)
+
+
+def _directory(spark: SparkSession, keys: DataFrame, dealt: _Deal, files: int) -> DataFrame:
+    """For each source, where its rows of each file begin: own_source, bits, and by the first `bits` bits of a hash the
+    begins (from, file, before) among which the last one at or below the hash is the row's; before counts the source's rows below it."""
+    begins = dealt.files(files)
+    asked = [{"source": r.own_source, "n": n, "file": file} for r, own in zip(dealt.sources, begins) for file, n in own if n]
+    found = {r.own_source: [(0, own[0][0], 0)] for r, own in zip(dealt.sources, begins)}
+    if asked:
+        asked_rows = _inlined(spark, asked, "source:string, n:long, file:int").withColumnRenamed("source", "own_source")
+        ranked = _ranked(keys, dealt.bits, "own_source", "own_hash", "own_n", ("own_before", F.rank()))
+        at = ranked.withColumnRenamed("own_n", "n").join(F.broadcast(asked_rows), ["own_source", "n"])  # at most one a block
+        for r in at.orderBy("own_source", "n").collect():
+            own = found[r.own_source]
+            if own[-1][0] == r.own_hash:
+                own.pop()  # equal rows lie across the border
+            own.append((r.own_hash, r.file, r.own_before))
+    rows = []
+    for source, own in found.items():
+        bits = len(own).bit_length() - 1
+        cells = [[] for _ in range(1 << bits)]
+        k = 0
+        for c, cell in enumerate(cells):
+            low, high = c << (HASH_BITS - bits), (c + 1) << (HASH_BITS - bits)
+            while k + 1 < len(own) and own[k + 1][0] <= low:
+                k += 1
+            while True:
+                cell.append({"from": own[k][0], "file": own[k][1], "before": own[k][2]})
+                if k + 1 == len(own) or own[k + 1][0] >= high:
+                    break
+                k += 1
+        rows.append({"source": source, "bits": bits, "cells": cells})
+    return cut(_inlined(spark, rows, "source:string, bits:int, cells:array<array<struct<from:long, file:int, before:long>>>"))
+
+
+def mix(docs: DataFrame, *, block_docs: int = 32, most_blocks: int = 1 << 18, bucket_rows: int = 256, broadcast_rows: int = 1 << 19, file_docs: int = 1 << 15, **targets) -> DataFrame:
+    """The rows of docs in the schedule's order: partition after partition, row after row.
+
+    A first pass keeps source and hash of each row. From them come the hashes at which each source's rows go on to the next
+    partition, at most one a block, so that the second pass sends each text to its partition at once, in the only shuffle of texts.
+    Partitions hold about `file_docs` documents, or as few as fill the session's shuffle partitions. Rows that are equal in all
+    columns and lie across a border stay together, behind it.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    kept = dict(zip(ADDED, fresh(columns, *(f"own_{c}" for c in ADDED))))
+    back = {kept[c.lower()]: c for c in columns if c.lower() in kept}
+    docs = docs.withColumnsRenamed({c: k for k, c in back.items()})
+    source, hashed, n, at, file = fresh([*docs.columns, *ADDED], "own_source", "own_hash", "own_n", "own_at", "own_file")
+    keys = cut(docs.select("source", _source().alias("own_source"), _hash(docs).alias("own_hash")))
+    dealt = _Deal(keys, block_docs, most_blocks, bucket_rows, targets)
+    rows, blocks = sum(r.rows for r in dealt.sources), sum(dealt.blocks)
+    files = max(1, min(blocks, max(-(-rows // file_docs), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    cells, bits = fresh([*docs.columns, *ADDED], "own_cells", "own_bits")
+    directory = _directory(spark, keys.drop("source"), dealt, files).toDF(source, bits, cells)
+    keyed = docs.withColumns({source: _source(), hashed: _hash(docs)}).join(F.broadcast(directory) if blocks <= broadcast_rows else directory, source)
+    last = F.expr(f"element_at(filter({cells}[cast(shiftright({hashed}, {HASH_BITS} - {bits}) as int)], own_x -> own_x.from <= {hashed}), -1)")
+    sent = keyed.withColumn(at, last).select(*docs.columns, source, hashed, F.col(f"{at}.file").alias(file), F.col(f"{at}.before").alias(n)).repartitionById(files, file)
+    in_file = Window.partitionBy(file, source).orderBy(hashed)
+    numbered = sent.withColumn(n, F.col(n) + F.row_number().over(in_file) - 1)
+    planned = _slotted(numbered, docs.columns, dealt, source, n, broadcast_rows).sortWithinPartitions("mix_slot", "mix_place").drop(*ADDED)
+    return planned.withColumnsRenamed(back).select(*columns)

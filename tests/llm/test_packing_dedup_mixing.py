@@ -275,3 +275,16 @@ def test_ten_thousand_sources_and_bounded_blocks(spark):
     counts = Counter((r.source, r.mix_block) for r in few)
     assert sorted(r.doc_id for r in few) == sorted([*range(10_000), *(k for k in range(10_000, 30_000) if k % 100 == 7)])
     assert max(counts.values()) == -(-len(few) // 500) and len(counts) <= 500 + len({r.source for r in few})
+
+
+@pytest.mark.parametrize("options", [{}, {"block_docs": 3, "bucket_rows": 16}, {"block_docs": 1, "file_docs": 50, "weights": {"hot": 1, "b": 2, None: 3}}])
+def test_mix_is_in_the_schedules_order(spark, options):
+    """Read partition after partition, the mix is the schedule sorted by slot and place; equal rows across a border move behind it."""
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('text ', id) text", "case when id % 3 = 0 then 'hot' when id % 7 > 0 then 'b' end source").repartition(5)
+    got = [r.doc_id for r in mixing.mix(docs, **options).collect()]
+    schedule = mixing.schedule(docs, **{k: v for k, v in options.items() if k != "file_docs"})
+    assert got == [r.doc_id for r in schedule.orderBy("mix_slot", "mix_place").collect()]
+    repeated = docs.unionByName(spark.range(2000).selectExpr("7L doc_id", "'same' text", "'hot' source"))
+    mixed = mixing.mix(repeated, **options)
+    assert Counter(mixed.collect()) == Counter(repeated.collect())
+    assert mixing.mix(docs.limit(0)).count() == 0
