@@ -70,6 +70,7 @@ def family_links(hosts: DataFrame) -> DataFrame:
 
 
 RANKS = ("trust", "distrust", "ahead", "behind")
+DIGITS = 9
 
 
 def host_ranks(judged: DataFrame, links: DataFrame, *, damping: float = 0.85, steps: int | None = None, tolerance: float = 1e-6) -> DataFrame:
@@ -101,7 +102,8 @@ def host_ranks(judged: DataFrame, links: DataFrame, *, damping: float = 0.85, st
 
 
 def judge(pages: DataFrame, rules=RULES, *, threshold: float = 0.5, family: bool = True, **options) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's distrust_share: d / (d + max(t, 1))."""
+    """page_id, host, path, rule, verdict, and the host's distrust_share: d / (d + max(t, 1)), rounded before it is held against
+    the threshold, so that the order in which sums were added decides nothing."""
     own = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     judged = own.withColumns({"rule": rule, "action": action})
@@ -110,7 +112,65 @@ def judge(pages: DataFrame, rules=RULES, *, threshold: float = 0.5, family: bool
         links = links.unionByName(family_links(judged.where("host <> ''").select("host").distinct()))
     lift = lambda x, neutral: F.coalesce(F.try_divide(x, neutral), F.lit(0.0))
     d, t = lift("distrust", "behind"), lift("trust", "ahead")
-    share = host_ranks(judged, links, **options).select(F.col("host").alias("own_host"), (d / (d + F.greatest(t, F.lit(1.0)))).alias("distrust_share"))
+    ratio = F.round(d / (d + F.greatest(t, F.lit(1.0))), DIGITS)
+    share = host_ranks(judged, links, **options).select(F.col("host").alias("own_host"), ratio.alias("distrust_share"))
     found = judged.join(share, F.col("host") == F.col("own_host"), "left").drop("own_host")
     verdict = F.coalesce("action", F.when(F.col("distrust_share") > threshold, F.lit("block")).otherwise(F.lit("allow")))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("distrust_share", F.lit(0.0)).alias("distrust_share"))
+
+
+def oracle(rules=RULES, *, threshold: float = 0.5, damping: float = 0.85, tolerance: float = 1e-6) -> str:
+    """SQL of judge over the table pages."""
+    cases = {"rule": "", "action": ""}
+    for does, text in sorted(rules, key=lambda r: -len(r[1])):
+        at, slash, rest = text.partition("/")
+        fits = f"when (host = '{at}' or ends_with(host, '.{at}')) and starts_with(path, '{slash + rest}') then "
+        cases = {"rule": f"{cases['rule']} {fits} '{text}'", "action": f"{cases['action']} {fits} '{does}'"}
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    named = lambda url: low(f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '')")
+    moved = lambda x, share: f"{1 - damping}::double * max(s.{x}) + {damping}::double * coalesce(sum(v.{x} * v.{share}), 0) as {x}"
+    return rf"""
+    with recursive own as (
+        select page_id, html, {named('url')} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+    judged as (select *, case {cases['rule']} end as rule, case {cases['action']} end as action from own),
+    hosts as (select distinct host from judged where host <> ''),
+    targets as (
+        select host as src, unnest(list_distinct(list_transform(
+            regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*((?:https?:)?//[^\s"''<>]+)', 1),
+            lambda x: {named("case when starts_with(x, '//') then 'http:' || x else x end")}))) as dst
+        from own where html is not null),
+    parents as (
+        select h.host as src, p.host as dst from hosts h join hosts p on p.host = regexp_replace(h.host, '^[^.]*\.', '') where h.host <> p.host),
+    links as (
+        select src, dst from targets where src <> dst and src <> '' and dst <> ''
+        union all select src, dst from parents union all select dst, src from parents),
+    sums as (select src, dst, count(*)::double as weight from links group by src, dst),
+    edges as (select src, dst, weight / sum(weight) over (partition by src) as forth, weight / sum(weight) over (partition by dst) as back from sums),
+    seeds as (
+        select host, count(*) filter (action = 'allow') as trust, count(*) filter (action = 'block') as distrust, count(*) as ahead
+        from judged where host <> '' group by host),
+    starts as (
+        select host, coalesce(trust, 0)::double / greatest(1, sum(trust) over ()) as trust, coalesce(distrust, 0)::double / greatest(1, sum(distrust) over ()) as distrust,
+            coalesce(ahead, 0)::double / greatest(1, sum(ahead) over ()) as ahead, coalesce(ahead, 0)::double / greatest(1, sum(ahead) over ()) as behind
+        from seeds full join (select src as host from edges union select dst from edges) using (host)),
+    steps as (
+        select 0 as step, *, case when exists (from edges) then 1.0::double else 0.0::double end as change from starts
+        union all
+        select step + 1, host, trust, distrust, ahead, behind, abs(trust - trust_was) + abs(distrust - distrust_was) + abs(ahead - ahead_was) + abs(behind - behind_was)
+        from (
+            select max(r.step) as step, r.host, {moved('trust', 'forth')}, {moved('distrust', 'back')}, {moved('ahead', 'forth')}, {moved('behind', 'back')},
+                max(r.trust) as trust_was, max(r.distrust) as distrust_was, max(r.ahead) as ahead_was, max(r.behind) as behind_was
+            from steps r join starts s on s.host = r.host left join (
+                select dst as host, trust, 0 as distrust, ahead, 0 as behind, forth, 0 as back from steps f join edges e on f.host = e.src
+                union all select src, 0, distrust, 0, behind, 0, back from steps b join edges e on b.host = e.dst) v on v.host = r.host
+            where (select sum(change) from steps) >= {tolerance!r}::double
+            group by r.host)),
+    ends as (select * from steps where step = (select max(step) from steps)),
+    lifts as (
+        select host, case when behind > 0 then (distrust / nullif(sum(distrust) over (), 0)) / (behind / sum(behind) over ()) end as d,
+            case when ahead > 0 then (trust / nullif(sum(trust) over (), 0)) / (ahead / sum(ahead) over ()) end as t
+        from ends),
+    ratios as (select host, round(coalesce(d, 0) / (coalesce(d, 0) + greatest(coalesce(t, 0), 1)), {DIGITS}) as distrust_share from lifts)
+    select page_id, host, path, rule, coalesce(action, case when distrust_share > {threshold} then 'block' else 'allow' end) as verdict,
+        coalesce(distrust_share, 0) as distrust_share
+    from judged left join ratios using (host)"""

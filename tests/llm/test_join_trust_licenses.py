@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,17 @@ def ranks_by_hand(pages, links, damping, steps):
     return {h: d[h] / (d[h] + max(t[h], 1)) for h in hosts}
 
 
+def assert_same_in_sql(rows, pages, rules=link_trust.RULES):
+    """DuckDB's rows of the same pages are equal, ranks included."""
+    duck = duckdb.connect()
+    duck.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    if pages:
+        duck.executemany("insert into pages values (?, ?, ?)", pages)
+    found = duck.execute(link_trust.oracle(rules))
+    assert [x[0] for x in found.description] == ["page_id", "host", "path", "rule", "verdict", "distrust_share"]
+    assert sorted(found.fetchall(), key=repr) == sorted(map(tuple, rows), key=repr)
+
+
 PAGES = [
     (1, "https://good.com/a", '<a href="https://friend.org/x">f</a> <a href=/own>o</a>'), (2, "http://friend.org/", "<a href='//good.com/'>g</a>"),
     (3, "https://bad.net/es/1", None), (4, "https://bad.net/de/1", '<a href="https://bad.net/es/2">b</a>'), (5, "https://feeder.org/p?x#y", '<A HREF="HTTP://BAD.NET/es/9">'),
@@ -169,6 +181,8 @@ def test_link_trust_against_a_plain_version(spark):
         assert r.verdict == (action or ("block" if share.get(h, 0) > 0.5 else "allow"))
         assert r.distrust_share == pytest.approx(share.get(h, 0.0), abs=1e-4)
     assert {r.page_id: r.verdict for r in rows}[4] == "block"
+    assert_same_in_sql(rows, PAGES)
+    assert_same_in_sql([], [])
     assert link_trust.judge(df.limit(0)).count() == 0
 
 
@@ -182,6 +196,7 @@ def test_distrust_reaches_far_hosts(spark):
     for r in rows:
         assert r.distrust_share == pytest.approx(share[r.host], abs=1e-3)
     assert min(r.distrust_share for r in rows) > 0
+    assert_same_in_sql(rows, pages, rules)
 
 
 def test_links_decide_between_hosts_without_rules(spark):
@@ -211,6 +226,7 @@ def test_links_decide_between_hosts_without_rules(spark):
             assert r.verdict == ("block" if share[r.host] > 0.5 else "allow")
             assert r.host[:4] == "torn" or r.verdict == ("block" if r.host.startswith("feeder") else "allow")
     assert {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
+    assert_same_in_sql(rows, pages, rules)
 
 
 NOTICE = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
