@@ -212,3 +212,90 @@ def mix(docs: DataFrame, *, block_docs: int = 32, most_blocks: int = 1 << 18, bu
     numbered = sent.withColumn(n, F.col(n) + F.row_number().over(in_file) - 1)
     planned = _slotted(numbered, docs.columns, dealt, source, n, broadcast_rows).sortWithinPartitions("mix_slot", "mix_place").drop(*ADDED)
     return planned.withColumnsRenamed(back).select(*columns)
+
+
+#: The multipliers of the 64-bit hash that Spark's xxhash64 works out, and its seed.
+XX = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+XX_SEED = 42
+
+
+def oracle(*, alpha: float = 0.7, cycle_slots: int = 2**32, block_docs: int = 32, most_blocks: int = 1 << 18) -> str:
+    """SQL of schedule over doc_id and source of the table documents, for sources with names below 32 bytes.
+
+    Hashes are worked out in 128 bits modulo 2^64; the deal is a recursion with a step a block.
+    """
+    whole = f"{1 << 64}::uhugeint"
+    p1, p2, p3, p4, p5 = (f"{x}::uhugeint" for x in XX)
+    times = "(({0}) * {1} % {2})".format
+    turned = lambda x, k: f"(({x}) * {1 << k}::uhugeint % {whole} + ({x}) // {1 << (64 - k)}::uhugeint)"
+    mixed = lambda h, x: f"xor({h}, {x})"
+
+    steps = [("long_0", f"select *, {XX_SEED}::uhugeint + {p5} + 8 as h, case when doc_id < 0 then {whole} - (-(doc_id::hugeint))::uhugeint else doc_id::uhugeint end as x from documents")]
+
+    def then(to: str, where: str = "true") -> None:
+        steps.append((f"step_{len(steps)}", f"select * exclude (h), case when {where} then {to} else h end as h from {steps[-1][0]}"))
+
+    def part(x: str) -> str:
+        steps.append((f"step_{len(steps)}", f"select * exclude (x), {x} as x from {steps[-1][0]}"))
+
+    def word(where: str) -> None:
+        part(times("x", p2, whole))
+        part(times(turned("x", 31), p1, whole))
+        then(mixed("h", "x"), where)
+        then(f"({times(turned('h', 27), p1, whole)} + {p4}) % {whole}", where)
+
+    def finish(where: str) -> None:
+        for shift, factor in ((33, p2), (29, p3), (32, None)):
+            then(mixed("h", f"h // {1 << shift}::uhugeint"), where)
+            if factor:
+                then(times("h", factor, whole), where)
+
+    word("doc_id is not null")
+    finish("doc_id is not null")
+    then(f"{XX_SEED}::uhugeint", "doc_id is null")
+    steps.append(("named", f"select *, coalesce(hex(encode(source)), '') as bytes, coalesce(octet_length(encode(source)), 0) as size from {steps[-1][0]}"))
+    then(f"(h + {p5} + size::uhugeint) % {whole}", "source is not null")
+    little = lambda at, n: "('0x' || " + " || ".join(f"substr(bytes, {at} * 2 + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::ubigint::uhugeint"
+    for k in range(3):
+        there = f"size >= {8 * k + 8}"
+        part(f"case when {there} then {little(8 * k, 8)} else 0::uhugeint end")
+        word(there)
+    rest, there = "(size - size % 8)", "size % 8 >= 4"
+    part(f"case when {there} then {little(rest, 4)} else 0::uhugeint end")
+    then(mixed("h", times("x", p1, whole)), there)
+    then(f"({times(turned('h', 23), p2, whole)} + {p3}) % {whole}", there)
+    for k in range(3):
+        there = f"size % 4 > {k}"
+        part(f"case when {there} then {little(f'(size - size % 4 + {k})', 1)} else 0::uhugeint end")
+        then(mixed("h", times("x", p5, whole)), there)
+        then(times(turned("h", 11), p1, whole), there)
+    finish("source is not null")
+    hashing = ",\n".join(f"{name} as ({sql})" for name, sql in steps)
+    return f"""
+    with recursive {hashing},
+    keyed as (
+        select doc_id, source, row_number() over (partition by source order by h % {1 << HASH_BITS}::uhugeint) - 1 as n,
+            case when source is null then '{{}}' else '{{"source":' || to_json(source) || '}}' end as name
+        from {steps[-1][0]}),
+    counts as (select name, count(*) as rows from keyed group by name),
+    sized as (select *, greatest({block_docs}, ceil(sum(rows) over () / {most_blocks}))::bigint as size, pow(rows, {alpha}) / sum(pow(rows, {alpha})) over () as weight from counts),
+    sources as (
+        select name, size, row_number() over (order by name) as i, greatest(1, round(weight * {cycle_slots}))::bigint as share, (rows + size - 1) // size as blocks
+        from sized),
+    every as (select list(share order by i) as shares, list(blocks order by i) as blocks, sum(share)::bigint as length from sources),
+    deal as (
+        select 0::bigint as slot, list_transform(blocks, lambda x: 0::bigint) as following, 0::bigint as dealt, -1::bigint as given, -1::bigint as block from every
+        union all
+        select given + 1, list_transform(following, lambda x, j: case when j = pick.i then x + 1 else x end), pick.i, given, following[pick.i]
+        from (
+            select *, list_min(list_transform(list_filter(released, lambda x: x.slot <= given), lambda x: {{'due': x.due, 'i': x.i}})) as pick
+            from (
+                select *, greatest(slot, list_min(list_transform(released, lambda x: x.slot))) as given
+                from (
+                    select slot, following, list_filter(list_transform(following, lambda x, j: {{
+                        'slot': x * length // shares[j], 'due': ((x + 1) * length + shares[j] - 1) // shares[j], 'i': j::bigint, 'left': x < blocks[j]}}), lambda x: x.left) as released
+                    from deal, every)
+                where len(released) > 0))),
+    placed as (select doc_id, source, i, share, n // size as mix_block, n % size as mix_place from keyed join sources using (name))
+    select doc_id, source, mix_block, given as mix_slot, mix_place, mix_block * length // share as mix_release, ((mix_block + 1) * length + share - 1) // share as mix_deadline
+    from placed join deal on dealt = i and block = mix_block, every"""

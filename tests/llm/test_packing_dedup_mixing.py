@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +289,18 @@ def test_mix_is_in_the_schedules_order(spark, options):
     mixed = mixing.mix(repeated, **options)
     assert Counter(mixed.collect()) == Counter(repeated.collect())
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_schedule_in_sql(spark):
+    """DuckDB's rows are equal, with null, empty, long and accented source names, and doc_ids that are null, negative or repeated."""
+    rng, names = random.Random(12), [None, "", "a", "ab", "four", "seven77", "eight888", "été", "thirteen-char", "thirty-one-bytes-make-this-name", 'quo"te']
+    data = [(rng.choice([None, -5, -(1 << 63), (1 << 63) - 1, *range(900)]), rng.choice([*names, "hot", "hot", "hot"])) for _ in range(1500)]
+    rows = mixing.schedule(spark.createDataFrame(data, "doc_id long, source string"), block_docs=3).collect()
+    duck = duckdb.connect()
+    duck.execute("create table documents (doc_id bigint, source varchar)")
+    duck.executemany("insert into documents values (?, ?)", data)
+    found = duck.execute(mixing.oracle(block_docs=3))
+    assert [x[0] for x in found.description] == list(rows[0].asDict())
+    assert sorted(found.fetchall(), key=repr) == sorted(map(tuple, rows), key=repr) and len(rows) == 1500
+    duck.execute("delete from documents")
+    assert duck.execute(mixing.oracle()).fetchall() == []
