@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_one_bit_codes": ann.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_link_trust": link_trust.oracle(), "op8_exact_dedup": exact_dedup.ORACLE, "op9_pfair_mixing": mixing.oracle(), "op10_rare_token_licenses": licenses.oracle()}
+    return {"op2_one_bit_codes": ann.ORACLE, "op4_guess_cost": secrets.oracle(), "op5_ngram_join": ngram_join.ORACLE, "op6_link_trust": link_trust.oracle(), "op8_exact_dedup": exact_dedup.ORACLE, "op9_pfair_mixing": mixing.oracle(), "op10_rare_token_licenses": licenses.oracle()}

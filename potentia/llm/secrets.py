@@ -224,3 +224,76 @@ def redact(text: str, spans: list) -> str:
             at = x["end"]
         at = max(at, x["end"])
     return "".join([*out, text[at:]])
+
+
+def oracle(*, least_log10: float = 12.0, dictionary_words: int = 20_000) -> str:
+    """SQL of digest(scan(documents)): every segment of every distinct value is listed with its cost, and a recursion with a step a
+    character takes the least sum. For values of some hundred characters at most."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]"
+    # s and k have one more form each in SQL's caseless patterns; \s there lacks the vertical tab
+    plain = lambda x: f"translate({x}, chr(383) || chr(8490), chr(1) || chr(1))"
+    context = quoted("(?i)" + CONTEXT.pattern.replace(r"\s", r" \t\n\r\f\v"))
+    found = lambda kind, pattern: f"select r, {kind} as kind, regexp_extract_all(t, {pattern}) as whole, regexp_extract_all(t, {pattern}, {'2' if kind == 0 else '1' if kind == 3 else '0'}) as part, string_split_regex(t, {pattern}) as between from texts"
+    patterns = (quoted("(?i)" + ASSIGN.pattern), quoted("AKIA[A-Z0-9]{14,}"), quoted("[0-9a-f]{16,}"), context)
+    alphabet = lambda c: rf"(case when regexp_full_match({c}, '\p{{Nd}}') then 10 when regexp_full_match({c}, '[A-Za-z]') then 26 when unicode({c}) < 128 then 33 else 100 end)"
+    dates = " or ".join(f"regexp_full_match(sub, {quoted(d.pattern)})" for d in _DATES)
+    return rf"""
+    with recursive docs as (select row_number() over () as r, doc_id, text from documents),
+    texts as (select r, {plain("text")} as t from docs where text <> ''),
+    raw as ({" union all ".join(found(k, x) for k, x in enumerate(patterns))}),
+    places as (
+        select r, kind, whole[i] as whole, part[i] as part, list_sum(list_transform(between[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) as start
+        from (select *, unnest(range(1, len(whole) + 1)) as i from raw)),
+    base as (
+        select r, kind, start, start + length(whole) as stop from places where kind in (1, 2) or (kind = 0 and length(part) >= 12)),
+    named as (
+        select r, start + length(whole) - length(part) as start, rtrim(substr(text, (start + length(whole) - length(part) + 1)::bigint, length(part)), '.:!?') as v
+        from places join docs using (r) where kind = 3),
+    prose as (
+        select r, case when regexp_matches(text, '(?i){"|".join(x.decode() for x in _NAMES)}') then regexp_replace(text, {context}, ' ', 'g') else text end as t from docs where text is not null),
+    words as (
+        select word, count(*) as n from (select unnest(list_distinct(regexp_extract_all(lower(t), '\p{{L}}{{3,{LONGEST_WORD}}}'))) as word from prose) group by word having n > 1),
+    octaves as (select floor(log2(n) * 8) as octave, count(*) as words from words group by 1),
+    least as (select min(octave) as octave from (select octave, sum(words) over (order by octave desc) as reached from octaves) where reached <= {dictionary_words}),
+    ordered as (
+        select word, row_number() over (order by min(place)) as rank
+        from (
+            select unnest({listed(WORDS)}) as word, unnest(range({len(WORDS)})) as place
+            union all select word, {len(WORDS)} + row_number() over (order by n desc, word) from words where floor(log2(n) * 8) >= (select octave from least))
+        group by word),
+    vals as (
+        select distinct v, case when length(lower(v)) = length(v) then lower(v) else v end as low,
+            case when length(lower(v)) = length(v) then translate(lower(v), '4@31!0$57+', 'aaeiiosstt') else v end as folded
+        from named),
+    steps as (
+        select *, list_transform(range(1, length(v)), lambda k: case when regexp_full_match(v[k], '[\p{{L}}\p{{N}}]') and regexp_full_match(v[k + 1], '[\p{{L}}\p{{N}}]') then unicode(v[k + 1]) - unicode(v[k]) else 0 end) as ups,
+            list_transform(range(1, length(v)), lambda k: case when list_contains({listed(sorted(a + b for a, b in _NEXT))}, low[k] || low[k + 1]) then 1 else 0 end) as walks
+        from vals),
+    cuts as (
+        select v, j, i, i - j as k, v[j + 1:i] as sub, low[j + 1:i] as low, folded[j + 1:i] as folded, ups[j + 1:i - 1] as ups, walks[j + 1:i - 1] as walks
+        from (select *, unnest(range(j + 1, length(v) + 1)) as i from (select *, unnest(range(length(v))) as j from steps))
+        where i - j = 1 or i - j >= 3),
+    costs as (
+        select v, j, i, log10({alphabet("sub")}) as cost from cuts where k = 1
+        union all select v, j, i, log10({alphabet("sub[1]")} * k) from cuts where k >= 3 and sub = repeat(sub[1], k)
+        union all select v, j, i, log10({alphabet("sub[1]")} * k * 2) from cuts where k >= 3 and list_min(ups) = list_max(ups) and abs(list_min(ups)) = 1
+        union all select v, j, i, log10(47 * k) + 0.3::double * (k - 1) from cuts where k >= 3 and list_min(walks) = 1
+        union all select v, j, i, log10(case when k > 4 then 36525 else 150 end) from cuts where k >= 4 and ({dates})
+        union all select v, j, i, log10(rank * (case when sub <> low then 2 else 1 end) * pow(2, len(list_filter(range(1, k + 1), lambda x: low[x] <> folded[x]))) + 1)
+        from cuts join ordered on word = folded where k between 3 and {LONGEST_WORD}),
+    cheapest as (select v, j, i, min(cost) as cost from costs group by v, j, i),
+    best as (
+        select v, 0::bigint as i, [0::double] as sums from vals
+        union all
+        select b.v, b.i + 1, list_append(any_value(b.sums), min(b.sums[c.j + 1] + c.cost)) from best b join cheapest c on c.v = b.v and c.i = b.i + 1 group by b.v, b.i),
+    guessed as (select r, start, start + length(n.v) as stop, sums[-1] >= {least_log10} as hard from named n join best b on b.v = n.v and b.i = length(n.v)),
+    every as (select * from base union all select r, 3, start, stop from guessed where hard),
+    joined as (
+        select r, {", ".join(f"count(*) filter (kind = {k}) as n_{name}" for k, name in enumerate(KINDS))},
+            string_agg({listed(KINDS)}[kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) as spans,
+            string_agg({listed(KINDS)}[kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) filter (kind < 3) as base
+        from every group by r),
+    weak as (select r, count(*) as n_weak from guessed where not hard group by r)
+    select doc_id, {", ".join(f"coalesce(n_{name}, 0) as n_{name}" for name in KINDS)}, coalesce(n_weak, 0) as n_weak, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from docs left join joined using (r) left join weak using (r)"""
