@@ -16,7 +16,8 @@ may have its slots, and where there is none they stay vacant. No row is dropped
 
 Defined cases: a null source is a source; rows with equal columns, doc_id included, follow one another in
 any order; an empty table gives no rows; texts may be null; other columns, whatever their names and types, are only carried, but for
-those that `schedule` adds, which give way to its own. Target weights default to each source's row
+those that `schedule` adds, which give way to its own. The table is read more than once and must give the same rows each time, as
+files do. Target weights default to each source's row
 count to the power `alpha`, over all rows; others can be given, and a source without one is refused.
 """
 
