@@ -80,13 +80,29 @@ def balanced_shards(groups: DataFrame, key: str, weight: str, shards: int, *, ev
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("shard", IntegerType())]))
 
 
+def _ranges(df: DataFrame, order: tuple[str, ...], buckets: int, value: Column) -> Column:
+    """The range, from 0 to buckets - 1 at most, of a value (a struct of the order). Its bounds come from 100 random rows a bucket."""
+    drawn = df.select(F.struct(*order).alias("own_v")).orderBy(F.rand(42)).limit(100 * buckets).agg(F.sort_array(F.collect_list("own_v")).alias("own_s"))
+    picked = drawn.select(F.expr(f"array_distinct(transform(filter(sequence(1, {buckets}), i -> i * size(own_s) >= {buckets}), i -> own_s[int(i * size(own_s) / {buckets}) - 1]))").alias("own_b"))
+    fields = picked.schema["own_b"].dataType.elementType.fields
+    bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in picked.first()["own_b"][: buckets - 1]]
+
+    def search(lo: int, hi: int) -> Column:  # compiled, unlike a search in an array
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(value <= bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(bounds))
+
+
 def numbered(df: DataFrame, *order: str, buckets: int = 64) -> DataFrame:
     """PRJ11 and SMP8: row number from 0 in the given order, without one task that sorts all: ranges first, then offsets.
 
-    Rows are split into ranges of the order; a range's offset is the sum of the counts before it.
+    Rows are split into ranges of the order; a range's offset is the sum of the counts before it. The ranges' bounds are literals, so
+    that counts and rows have the same ranges: Spark's range partitioning draws its bounds anew in each branch of a plan.
     """
-    ranged = df.repartitionByRange(buckets, *order).withColumn("own_p", F.spark_partition_id())
+    valued = df.withColumn("own_v", F.struct(*order))
+    ranged = valued.withColumn("own_p", _ranges(df, order, buckets, F.col("own_v"))).drop("own_v")
     local = ranged.withColumn("own_k", F.row_number().over(Window.partitionBy("own_p").orderBy(*order)))
-    counts = local.groupBy("own_p").agg(F.max("own_k").alias("own_c"))  # a row a range
+    counts = ranged.groupBy("own_p").agg(F.count("*").alias("own_c"))  # a row a range
     before = F.coalesce(F.sum("own_c").over(Window.orderBy("own_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return local.join(F.broadcast(counts.select("own_p", before.alias("own_b"))), "own_p").withColumn("n", F.col("own_b") + F.col("own_k") - 1).drop("own_p", "own_k", "own_b")

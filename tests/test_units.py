@@ -155,6 +155,27 @@ def test_numbering_without_a_single_task(spark):
     assert [(r.k, r.n) for r in R.numbered(df, "k", buckets=5).orderBy("k").collect()] == [(i, i) for i in range(100)]
 
 
+def test_numbering_of_more_rows_than_bounds_are_drawn_from(spark):
+    df = spark.range(150_000, numPartitions=2).select((F.col("id") * 7919 % 150_000).alias("k"), F.col("id").alias("more"))
+    rows = R.numbered(df, "k").select("k", "more", "n").toPandas()
+    assert (rows.n == rows.k).all() and (rows.more * 7919 % 150_000 == rows.k).all()
+
+
+def test_numbering_of_odd_orders(spark):
+    import datetime
+    from decimal import Decimal
+
+    day = datetime.datetime(2024, 10, 27, 2, 30)
+    data = [(k, x, t, d) for k in ("", "a", "é", None) for x in (float("nan"), -0.5, None, 7.0) for t in (day, None) for d in (Decimal("1.10"), None)]
+    df = spark.createDataFrame(data, "k string, x double, t timestamp, d decimal(9,2)").repartition(3)
+    for order in (["k", "x", "t", "d"], ["t", "d", "x", "k"]):
+        want = [tuple(map(str, r)) for r in df.coalesce(1).sortWithinPartitions(*order).collect()]
+        rows = sorted(R.numbered(df, *order, buckets=9).collect(), key=lambda r: r.n)
+        assert [r.n for r in rows] == list(range(64)) and [tuple(map(str, r[:4])) for r in rows] == want
+    assert sorted(r.n for r in R.numbered(df.select(F.lit(1).alias("k")), "k").collect()) == list(range(64))
+    assert R.numbered(df.limit(0), "k").count() == 0
+
+
 SAME = [
     (r"\frac{1}{2}", "0.5"), (r"\dfrac12", "1/2"), ("50\\%", "50"), (r"3\frac{1}{4}", "13/4"), (r"2\sqrt{2}", r"\sqrt{8}"), (r"\frac{\sqrt{3}}{2}", r"\frac{3}{2\sqrt{3}}"), (r"\sqrt[3]{8}", "2"), (r"(1,\,2)", r"\left( 1, 2.0\right)"),
     (r"\{2,1\}", "1, 2"), (r"[0, \frac{1}{2})", "[0,0.5)"), (r"x=5", "5"), (r"90^\circ", "90"), (r"1,000,000", "1000000"), (r"\text{B}", "B"), (r"2^{3}", "8"), (r"-\frac{\pi}{2}", r"\frac{-1}{2}\pi"), ("\\$5", "5."), (r"3\times10^{-2}", "0.03"), (r"x^2 + 1", "x^2+1"),
