@@ -201,25 +201,28 @@ def bucket_edges(representatives: DataFrame, rows_all: int, similarity: float, b
     return compared.unionByName(whole).distinct()
 
 
-def components(edges: DataFrame, *, steps: int = 50) -> DataFrame:
+def components(edges: DataFrame, *, steps: int = 50, file_rows: int = 100_000) -> DataFrame:
     """node and root, the smallest node of its component, for all nodes of edges (a, b).
 
     Each step points every node's neighbours, and then the node, to the smallest of them (alternating large and small stars), with
-    aggregates and joins only; edges between a root and its members are left when nothing changes.
+    aggregates and joins only; edges between a root and its members are left when nothing changes. No step adds edges, so their
+    number bounds the files that a step's tables need at about `file_rows` rows each, however many partitions a shuffle has.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
+    mark, files = None, lambda rows: max(1, math.ceil(rows / file_rows))
+    most = edges.count()
     for _ in range(steps):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # so that the join's skewed side can be split
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(least.coalesce(files(2 * most)))  # so that the join's skewed side can be split
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        edges = cut(small.distinct().coalesce(files(most)))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, most = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -99,6 +99,28 @@ def test_components(spark):
     assert got == {key(x): key(find(x)) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_write_files_by_rows(spark, monkeypatch):
+    """Each checkpoint file costs an executor several processes (chmod), so few edges go to few files."""
+    edges = spark.range(1, 1001).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 10).alias("b"))
+    files, cut = [], ngram_join.cut
+
+    def counted(df):
+        df = cut(df)
+        files.append(df.rdd.getNumPartitions())
+        return df
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        found = ngram_join.components(edges)
+        assert {(r.node, r.root) for r in found.collect()} == {(k, k - k % 10) for k in range(0, 1001) if k != 1000}
+    finally:
+        spark.conf.set(key, before)
+    assert len(files) > 2 and set(files[1:]) == {1}
+
+
 def ranks_by_hand(pages, links, damping, steps):
     """d / (d + max(t, 1)) of each host; walks restart where they end."""
     hosts = sorted({h for h, _ in pages if h} | {x for e in links for x in e})
